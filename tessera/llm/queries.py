@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import packing, token_counts
+from tessera.llm import huffman, packing, token_counts
 from tessera.sources.tables import table
 
 
+def op2_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.encode_and_read(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_pack_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
 
