@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import huffman, packing, token_counts
+from tessera.llm import huffman, language_id, packing, token_counts, toxicity
 from tessera.sources.tables import table
 
 
+def op1_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
 def op2_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.encode_and_read(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -18,6 +22,10 @@ def op4_pack_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"))
 
