@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import huffman, language_id, packing, token_counts, toxicity
+from tessera.llm import huffman, language_id, minmax_dedup, packing, token_counts, toxicity
 from tessera.sources.tables import table
 
 
@@ -22,6 +22,10 @@ def op4_pack_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op5_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax_dedup.near_classes(table(spark, sf_dir, "documents", "doc_id", "text"), words=3, percent=85)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
