@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import huffman, language_id, minmax_dedup, packing, token_counts, toxicity
+from tessera.llm import fingerprints, huffman, language_id, minmax_dedup, packing, token_counts, toxicity
 from tessera.sources.tables import table
 
 
@@ -14,6 +14,10 @@ def op1_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_next(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.encode_and_read(table(spark, sf_dir, "documents", "doc_id", "text"))
 
