@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import fingerprints, huffman, language_id, minmax_dedup, packing, token_counts, toxicity
+from tessera.llm import fingerprints, huffman, language_id, minmax_dedup, mixing, packing, token_counts, toxicity
 from tessera.sources.tables import table
 
 
@@ -22,6 +22,10 @@ def op2_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.encode_and_read(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
+
+
 def op4_pack_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
 
