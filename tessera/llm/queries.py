@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import fingerprints, huffman, language_id, minmax_dedup, mixing, packing, token_counts, topk, toxicity
+from tessera.llm import fingerprints, html_text, huffman, language_id, minmax_dedup, mixing, packing, token_counts, topk, toxicity
 from tessera.sources.tables import table
 
 
@@ -35,6 +35,10 @@ def op5_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_dedup.near_classes(table(spark, sf_dir, "documents", "doc_id", "text"), words=3, percent=85)
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
