@@ -60,19 +60,18 @@ class PieceCounter:
         marked = MARK + text.replace(b" ", MARK)
         return [u[3:] for u in _UNITS.findall(marked)]
 
-    def _learn(self, new: set[bytes]) -> None:
-        listed = list(new)
+    def _learn(self, listed: list[bytes]) -> None:
         texts = [u.decode("utf-8", "replace").replace("▁", " ") if u.startswith((b" ", MARK)) else u.decode("utf-8", "replace") for u in listed]
         for u, ids in zip(listed, self.library.encode(texts, num_threads=1), strict=True):
             self.counts[u] = len(ids) if u else self.single
 
     def count(self, text: bytes | None) -> int:
         freq = Counter(self.pretokens(text or b""))
-        new = freq.keys() - self.counts.keys()
+        new = [u for u in freq if u not in self.counts]
         if new:
             if len(self.counts) + len(new) > self.most:
                 self.counts.clear()
-                new = set(freq)
+                new = list(freq)
             self._learn(new)
         known = self.counts
         return sum(known[u] * n for u, n in freq.items())
