@@ -55,8 +55,10 @@ def _same(a: str, b: str) -> Column:
 
 
 def place(docs: DataFrame) -> DataFrame:
-    """Rows with their size, source number and first word inside the source."""
+    """Rows with their size, a digest of their content, their turn in the order
+    of a source and their chunk of it."""
     sized = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    sized = sized.withColumn("digest", F.xxhash64("text", "source"))
     return sized.withColumn("turn", F.xxhash64("doc_id", F.lit(SEED))).withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(CHUNKS)).cast("int"))
 
 
@@ -76,7 +78,7 @@ def plan(sized: DataFrame, **how) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(placed documents, sources, slots). Placed: sized rows with `start`
     inside their source and the source's figures; slots: source number, slot,
     pass, shard, block index and the words taken from the block's start."""
-    sized = sized.select("doc_id", "source", "size", "turn", "chunk")
+    sized = sized.select("doc_id", "digest", "source", "size", "turn", "chunk")
     sources = targets(sized, **how)
     sources = sources.withColumn("number", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()))
     want = F.floor(F.col("target") + 0.5).cast("long")
@@ -85,11 +87,11 @@ def plan(sized: DataFrame, **how) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     chunks = sized.groupBy("source", "chunk").agg(F.sum("size").alias("chunk_size"))
     chunks = chunks.withColumn("chunk_start", F.sum("chunk_size").over(Window.partitionBy("source").orderBy("chunk")) - F.col("chunk_size"))
-    inside = Window.partitionBy("source", "chunk").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "chunk").orderBy("turn", "doc_id", "size", "digest").rowsBetween(Window.unboundedPreceding, 0)
     placed = sized.withColumn("inside", F.sum("size").over(inside) - F.col("size"))
     c = chunks.select(F.col("source").alias("s1"), F.col("chunk").alias("c1"), "chunk_start").join(sources.withColumnRenamed("source", "s2"), _same("s1", "s2"))
     placed = placed.join(c, _same("source", "s1") & (F.col("chunk") == F.col("c1"))).withColumn("start", F.col("chunk_start") + F.col("inside"))
-    placed = placed.select("doc_id", "source", "number", "size", "source_size", "target", "start")
+    placed = placed.select("doc_id", "digest", "source", "number", "size", "source_size", "target", "start")
 
     # slots of a source: whole passes, then as many blocks as reach the target
     total = F.sum("want").over(Window.partitionBy())
@@ -120,20 +122,43 @@ def plan(sized: DataFrame, **how) -> tuple[DataFrame, DataFrame, DataFrame]:
 def taken_pieces(placed: DataFrame, slots: DataFrame) -> DataFrame:
     """Each slot's pieces of documents: doc_id, start (of the document in its
     source), slot, pass, shard, first word inside the document, words."""
-    pieces = placed.where("size > 0").select("doc_id", "number", "size", "start", F.explode(F.sequence(F.expr(f"start div {BLOCK}"), F.expr(f"(start + size - 1) div {BLOCK}"))).alias("block"))
+    pieces = placed.where("size > 0").select("doc_id", "digest", "number", "size", "start", F.explode(F.sequence(F.expr(f"start div {BLOCK}"), F.expr(f"(start + size - 1) div {BLOCK}"))).alias("block"))
     both = pieces.join(slots, ["number", "block"])
     low = F.greatest(F.col("start"), F.col("block") * BLOCK)
     high = F.least(F.col("start") + F.col("size"), F.col("block") * BLOCK + F.col("words"))
-    return both.withColumn("first", low - F.col("start")).withColumn("n", high - low).where("n > 0").select("doc_id", "number", "start", "slot", "pass", "shard", "first", "n")
+    return both.withColumn("first", low - F.col("start")).withColumn("n", high - low).where("n > 0").select("doc_id", "digest", "number", "start", "slot", "pass", "shard", "first", "n")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """doc_id, size, source_size, target and taken for every row of
     docs(doc_id, source, text)."""
-    sized = cut(place(docs).select("doc_id", "source", "size", "turn", "chunk"), "sized")
+    sized = cut(place(docs).select("doc_id", "digest", "source", "size", "turn", "chunk"), "sized")
     placed, sources, slots = plan(sized, **how)
     placed = cut(placed, "placed")
     took = taken_pieces(placed, slots).groupBy("number", "start").agg(F.sum("n").alias("taken"))
     filled = placed.where("size > 0").join(took, ["number", "start"], "left")
     columns = ["doc_id", "size", "source_size", "target"]
     return filled.select(*columns, F.coalesce("taken", F.lit(0)).cast("long").alias("taken")).unionByName(placed.where("size = 0").select(*columns, F.lit(0).cast("long").alias("taken")))
+
+
+def mixed_texts(docs: DataFrame, **how) -> DataFrame:
+    """The mix as rows of docs (doc_id, text, source and any others): one for
+    each pass over its source that takes words of the document. A document
+    taken whole keeps its text; else the text is its taken words, in their
+    order, joined by spaces, and n_chars, where there is one, follows."""
+    sized = cut(place(docs).select("doc_id", "digest", "source", "size", "turn", "chunk"), "sized")
+    placed, sources, slots = plan(sized, **how)
+    placed = cut(placed, "placed")
+    sizes = placed.select("number", "start", "size").where("size > 0")
+    spans = taken_pieces(placed, slots).groupBy("doc_id", "digest", "number", "start", "pass").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("first", "n"))).alias("spans"))
+    spans = spans.join(sizes, ["number", "start"]).select(F.col("doc_id").alias("d1"), F.col("digest").alias("g1"), (F.col("n") < F.col("size")).alias("part"), "spans")
+    texts = docs.withColumn("g0", F.xxhash64("text", "source"))
+    # rows alike in id and content stand for each other: one of them is joined
+    if sized.groupBy("doc_id", "digest").count().where("count > 1").limit(1).count():
+        texts = texts.dropDuplicates(["doc_id", "g0"])
+    both = texts.join(spans, (F.col("g0") == F.col("g1")) & F.col("doc_id").eqNullSafe(F.col("d1")))
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    cut_text = F.array_join(F.flatten(F.transform("spans", lambda p: F.slice(words, (p["first"] + 1).cast("int"), p["n"].cast("int")))), " ")
+    changed = {"text": F.when(F.col("part"), cut_text).otherwise(F.col("text"))}
+    out = both.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
