@@ -57,6 +57,7 @@ def responses(rows: DataFrame, path: str) -> None:
 def steps(spark, rows: list, path: str) -> None:
     """A table of model steps: dataclasses or dicts."""
     dicts = [r if isinstance(r, dict) else r.__dict__ for r in rows]
+    dicts = [{k: v.item() if hasattr(v, "item") else v for k, v in d.items()} for d in dicts]
     if dicts:
         write_tsv(spark.createDataFrame(dicts).coalesce(1), path)
 
