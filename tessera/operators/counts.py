@@ -51,8 +51,8 @@ def scale_documents(dtm: DataFrame, how: str, n_docs: int | None = None) -> Data
     elif how == "t":
         out = dtm.join(document_frequency(dtm), "idx")
         if n_docs is None:
-            out = out.crossJoin(F.broadcast(dtm.agg(F.countDistinct("doc_id").alias("N"))))
-            v = n * F.log(F.col("N") / F.col("df"))
+            out = out.crossJoin(F.broadcast(dtm.agg(F.countDistinct("doc_id").alias("docs"))))
+            v = n * F.log(F.col("docs") / F.col("df"))
         else:
             v = n * F.log(F.lit(float(n_docs)) / F.col("df"))
     else:
@@ -69,9 +69,9 @@ def expected_scaling(dtm: DataFrame) -> DataFrame:
 def column_entropy(dtm: DataFrame, n_docs: int | None = None) -> DataFrame:
     """(idx, entropy): -sum p ln p over documents, divided by ln N."""
     cells = dtm.join(column_sums(dtm, "idx").withColumnRenamed("total", "f"), "idx").withColumn("p", F.col("n") / F.col("f"))
-    size = dtm.agg(F.countDistinct("doc_id").alias("N")) if n_docs is None else dtm.sparkSession.range(1).select(F.lit(n_docs).alias("N"))
-    per = cells.groupBy("idx").agg((-F.sum(F.col("p") * F.log("p"))).alias("h"))
-    return per.crossJoin(F.broadcast(size)).select("idx", (F.col("h") / F.log("N")).alias("entropy"))
+    size = dtm.agg(F.countDistinct("doc_id").alias("docs")) if n_docs is None else dtm.sparkSession.range(1).select(F.lit(n_docs).alias("docs"))
+    per = cells.groupBy("idx").agg((F.lit(0.0) - F.sum(F.col("p") * F.log("p"))).alias("h"))
+    return per.crossJoin(F.broadcast(size)).select("idx", (F.col("h") / F.log("docs")).alias("entropy"))
 
 
 def entropy_weighted(dtm: DataFrame) -> DataFrame:

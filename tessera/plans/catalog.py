@@ -143,7 +143,7 @@ def dtm_expected(spark, sf_dir):
     return N.expected_scaling(cut(_dtm(spark, sf_dir), "dtm")).select("doc_id", "idx", _r("v").alias("v"))
 
 
-ENTROPY = "h AS (SELECT idx, -sum(n / f * ln(n / f)) / ln((SELECT count(DISTINCT doc_id) FROM dtm)) AS e FROM dtm JOIN f USING (idx) GROUP BY idx)"
+ENTROPY = "h AS (SELECT idx, (0.0 - sum(n / f * ln(n / f))) / ln((SELECT count(DISTINCT doc_id) FROM dtm)) AS e FROM dtm JOIN f USING (idx) GROUP BY idx)"
 
 
 @query("column_entropy", f"WITH {DTM}, {ROWS}, {ENTROPY} SELECT idx, round(e, 6) AS entropy FROM h")
@@ -556,13 +556,13 @@ def _lines(spark, sf_dir):
     return li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_extendedprice").alias("y"), F.array(*LINE).alias("x"))
 
 
-_ALL = ["1.0", "l_extendedprice", *LINE]
+_ALL = ["1.0", "(l_extendedprice / 1e5)", *LINE]
 
 
-@query("gram_matrix", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, round(sum({a} * {b}) / count(*), 4) AS g FROM lineitem" for i, a in enumerate(_ALL) for j, b in enumerate(_ALL)) + ")")
+@query("gram_matrix", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, round(sum({a} * {b}) / count(*), 5) AS g FROM lineitem" for i, a in enumerate(_ALL) for j, b in enumerate(_ALL)) + ")")
 def gram_matrix(spark, sf_dir):
-    g = R.design_gram(_lines(spark, sf_dir), 3)
-    return spark.createDataFrame([(i, j, float(g[i, j] / g[0, 0])) for i in range(5) for j in range(5)], "i int, j int, g double").withColumn("g", _r("g", 4))
+    g = R.design_gram(_lines(spark, sf_dir).withColumn("y", F.col("y") / 1e5), 3)
+    return spark.createDataFrame([(i, j, float(g[i, j] / g[0, 0])) for i in range(5) for j in range(5)], "i int, j int, g double").withColumn("g", _r("g", 5))
 
 
 @query("ols_simple", "SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem")
