@@ -1,0 +1,111 @@
+"""op1, op6 and op7: classifiers on made-up corpora, main text of small pages."""
+
+import numpy as np
+import pytest
+
+from tessera.llm import html_text, language_id, toxicity
+from tessera.llm.html_text import Page
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("", ""),
+        ("<div>a <b>x</b>y<p>b&amp;c <span class=ad>buy</span> d</div>", "a xy b&c d"),
+        ("<nav>m<article><p>t<p>u", "t u"),
+        ('a < b <p title="x>y">c', "a < b c"),
+        ('<p>x<script>var a="</p>"</script>y</p>', "xy"),
+        ("<!-- a", ""),
+        ("<p>a<ul><li>1<li>2</ul>t", "a 1 2 t"),
+        ("<main><h1>H</h1><form>f</form><div id='comments'>c</div>z</main>o", "H z"),
+        ('<div class="has-sidebar">k<div class=sidebar>s</div></div>', "k"),
+        ("<header>top</header><article><header><h1>T</h1></header><p>b<br>c&nbsp;&eacute;</article><footer>f", "T b c é"),
+        ("<article>one</article><aside>x</aside><article>two</article>", "one two"),
+        ("<p>a<style>p{}</style></p><p hidden>h</p><div style='display: none'>n</div><table><tr><td>1<td>2</table>", "a 1 2"),
+        ("<article>a<section class='comments'><article>c</article></section></article>", "a"),
+    ],
+)
+def test_main_text(html, want):
+    assert Page(html).main_text() == want
+
+
+def test_repeated_branches_of_a_host_go(spark):
+    rows = [(k, f"http://h.org/{k}", f"<body><div class=x>Same words on all pages</div><div class=y>text {k} {'z' * k}</div></body>", 1) for k in range(30)]
+    rows += [(100, "http://solo.org/", "<body><div class=x>Only page</div></body>", 1), (101, None, None, 1), (102, "odd", "", 1), (0, "http://h.org/0", rows[0][2], 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    got = html_text.extract(df).collect()
+    assert len(got) == 34
+    text = {r["page_id"]: r["text"] for r in got}
+    assert text[3] == "text 3 zzz" and text[100] == "Only page" and text[101] == text[102] == ""
+    assert all(r["n_chars"] == len(r["text"]) for r in got)
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
+WORDS = {"en": "the of and to in that with this from have".split(), "de": "der die und das nicht mit auf eine über ist".split(), "fr": "le la les des une dans que pour être français".split()}
+
+
+def _corpus(n=600, seed=0):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for k in range(n):
+        lang = sorted(WORDS)[k % 3]
+        words = [str(w) for w in rng.choice(WORDS[lang], 30)]
+        toxic = int(rng.random() < 0.3)
+        if toxic:
+            for at in rng.integers(0, 30, 3):
+                words[at] = {"en": "idiotic", "de": "blödmann", "fr": "crétinou"}[lang]
+        rows.append((k, " ".join(words), lang, toxic))
+    return rows
+
+
+def test_languages_are_told_apart(spark):
+    extra = [(1001, None, "en", 0), (1002, "123 !!", "en", 0), (1003, "", None, 0), (1004, "der die das " * 200_000, None, 0), (5, "le la les", "fr", 0)]
+    df = spark.createDataFrame([*_corpus(), *extra], "doc_id long, text string, lang string, score int")
+    rows = language_id.identify(df).collect()
+    got = {r["doc_id"]: r for r in rows}
+    assert len(rows) == 605
+    held = [k for k, *_ in _corpus() if got[k]["held_out"]]
+    truth = {k: lang for k, _, lang, _ in _corpus()}
+    assert 100 < len(held) < 200 and np.mean([got[k]["lang_pred"] == truth[k] for k in held if k != 5]) > 0.99
+    assert [got[k]["lang_pred"] for k in (1001, 1002, 1003, 1004)] == ["und", "und", "und", "de"]
+    assert all(0 <= r["score"] <= 1 for r in rows)
+    assert language_id.identify(df.limit(0)).count() == 0
+    assert {r["lang_pred"] for r in language_id.identify(df.limit(3).selectExpr("doc_id", "text", "cast(null as string) lang")).collect()} == {"und"}
+
+
+def test_ngram_counts_by_hand():
+    keys, n = language_id.ngrams("ab a!")
+    pack = lambda s: sum((ord(c) + 1 if c != "_" else 1) << 21 * (len(s) - 1 - k) for k, c in enumerate(s))
+    assert dict(zip(keys.tolist(), n.tolist(), strict=True)) == {pack(g): c for g, c in {"a": 2, "b": 1, "_a": 2, "ab": 1, "b_": 1, "a_": 1, "_ab": 1, "ab_": 1, "_a_": 1}.items()}
+
+
+def test_out_of_place_distance_by_hand():
+    m = language_id.Matcher({"x": np.array([5, 6, 7]), "y": np.array([7, 6, 9])}, 3)
+    assert m.place.shape == (2, 5) and m.langs == ["x", "y"]
+
+
+def test_toxicity_learns_and_keeps_rules(spark):
+    rows = _corpus(900, 1)
+    extra = [(2001, None, "en", 0), (2002, "", "en", 0), (2003, "the of " * 40_000 + "idiotic idiotic idiotic", "en", 0), (5, rows[5][1], "fr", 0)]
+    docs = spark.createDataFrame([(k, t, lang, "x") for k, t, lang, _ in [*rows, *extra]], "doc_id long, text string, lang string, score string")
+    labels = spark.createDataFrame([(k, y) for k, _, _, y in rows] + [(5, None), (9999, 1), (None, 1)], "doc_id long, toxic int")
+    out = toxicity.classify(docs, labels).collect()
+    got, truth = {r["doc_id"]: r for r in out}, {k: y for k, _, _, y in rows}
+    assert len(out) == 904
+    held = [k for k in truth if got[k]["held_out"]]
+    assert len(held) > 200 and np.mean([got[k]["predicted"] == truth[k] for k in held]) > 0.98
+    assert got[2001]["predicted"] == got[2002]["predicted"] == 0 and got[2003]["predicted"] == 1
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in out)
+    assert {r["predicted"] for r in toxicity.classify(docs.limit(5), labels.limit(0)).collect()} == {0}
+    assert toxicity.classify(docs.limit(0), labels).count() == 0
+
+
+def test_segments_of_long_texts_change_nothing():
+    net = toxicity.Net()
+    words = toxicity.words_of(" ".join(f"w{k % 700}" for k in range(3000)))
+    whole, old = net.features(words), toxicity._SEGMENT
+    try:
+        toxicity._SEGMENT = 256
+        assert np.allclose(net.features(words), whole)
+    finally:
+        toxicity._SEGMENT = old
