@@ -185,15 +185,16 @@ class Net:
 
     def calibrate(self, words: list[np.ndarray], toxic: np.ndarray) -> None:
         """A threshold for each language: the one of best F1, in the middle of
-        the gap it lies in. Languages with few rows share one over all rows."""
+        the gap it lies in. Languages with few rows share one over all rows; it
+        is 0.5 where those are too few."""
         p = np.array([self.probability(w) for w in words])
         at = np.array([self.language(w) for w in words])
         common = _best_cut(p, toxic)
         self.cuts = np.array([_best_cut(p[at == k], toxic[at == k]) if toxic[at == k].sum() >= 10 and (1 - toxic[at == k]).sum() >= 10 else common for k in range(len(self.languages))])
 
 
-def _best_cut(p: np.ndarray, y: np.ndarray) -> float:
-    if not len(p) or not y.any() or y.all():
+def _best_cut(p: np.ndarray, y: np.ndarray, least: int = 10) -> float:
+    if y.sum() < least or (1 - y).sum() < least:
         return 0.5
     order = np.argsort(-p, kind="stable")
     p, y = p[order], y[order]
@@ -233,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_
     late = range(cut, len(rows)) if toxic[cut:].any() and not toxic[cut:].all() else range(len(rows))
     net.learn_languages(words, [r["lang"] for r in rows])
     net.train([words[k] for k in late], toxic[late.start :])
-    first = words[:cut] if toxic[:cut].any() and not toxic[:cut].all() else words
+    first = words[:cut] if 10 <= toxic[:cut].sum() <= cut - 10 else words  # too few labels: those trained on as well
     net.calibrate(first, toxic[: len(first)])
     return net
 
