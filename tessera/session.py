@@ -12,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: dict[str, str] = {}
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_ROWS_BEFORE: dict[str, str] = {}
 
 
 def session(cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -36,6 +38,8 @@ def ship(spark: SparkSession) -> None:
     live across tasks; this makes the import work wherever the driver started.
     """
     app = spark.sparkContext.applicationId
+    if app in _ROWS_BEFORE:  # what arrow_rows() set for long texts doesn't slow short rows down
+        spark.conf.set(_ROWS, _ROWS_BEFORE.pop(app))
     if app in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
@@ -87,5 +91,7 @@ def discard(df: DataFrame) -> None:
 
 
 def arrow_rows(spark: SparkSession, rows: int = 256) -> None:
-    """Bound the rows of an Arrow batch, for tables with very long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Bound the rows of an Arrow batch, for tables with very long texts. The
+    next ship() of another operator puts the session's own bound back."""
+    _ROWS_BEFORE.setdefault(spark.sparkContext.applicationId, spark.conf.get(_ROWS))
+    spark.conf.set(_ROWS, str(rows))
