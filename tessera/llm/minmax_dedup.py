@@ -4,15 +4,16 @@
    signature: minimum and maximum under each of PERMUTATIONS permutations, cut
    into bands of ROWS values.
 2. Documents of one set become one node (the smallest doc_id).
-3. Nodes that share a band meet in buckets. Buckets over BLOCK nodes are dealt
-   to blocks and pairs of blocks. A first round compares each node to few
-   leaders of its bucket; a second compares all nodes that the first left in
-   different components. The signature (8 bits a value) screens pairs, far
-   below the threshold; what passes is confirmed on full shingle sets.
-4. Links become components, round by round.
+3. Nodes that share a band meet in buckets. A first round compares each node
+   to few leaders of its bucket by signature (8 bits a value) and confirms the
+   likely pairs on full sets; that joins most copies.
+4. Buckets that still hold several components get the full sets of their
+   nodes. Buckets over BLOCK nodes are dealt to blocks and pairs of blocks. In
+   each, all nodes of different components are compared exactly, without
+   emitting pairs: only links that join components come out.
+5. Links become components, in both rounds.
 
-At a likeness of 0.85 two sets share no band with probability 2e-7, and fall
-to the screen with less.
+At a likeness of 0.85 two sets share no band with probability 7e-7.
 
 Defined results: null, empty and blank texts have no shingles and no links;
 null doc_ids take no part (component_id null, kept); rows that repeat a doc_id
@@ -32,7 +33,7 @@ from tessera.llm.components import components
 from tessera.llm.shingles import MinMax, mix, shingle_hashes
 from tessera.session import arrow_rows, cut, discard, ship
 
-PERMUTATIONS, ROWS, BLOCK = 65, 5, 1024
+PERMUTATIONS, BANDS, ROWS, BLOCK = 90, 30, 6, 1024
 SLOTS = 1 << 20
 
 
@@ -45,8 +46,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
         import xxhash
 
         family = MinMax(PERMUTATIONS)
-        bands = 2 * PERMUTATIONS // ROWS
-        factors = np.random.default_rng(77).integers(0, 1 << 63, (bands, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+        factors = np.random.default_rng(77).integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
         for b in batches:
             n, h1, h2, keys, short = [], [], [], [], []
             for text in b.column("text").cast(pa.binary()).to_pylist():
@@ -59,7 +59,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 v = mix(family.values(s))
                 h1.append((whole & (1 << 64) - 1) - (1 << 63))
                 h2.append((whole >> 64) - (1 << 63))
-                keys.append(mix((v[: bands * ROWS].reshape(bands, ROWS) * factors).sum(1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64)).view(np.int64))
+                keys.append(mix((v[: BANDS * ROWS].reshape(BANDS, ROWS) * factors).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64))
                 short.append((v >> np.uint64(56)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.binary())],
@@ -98,19 +98,37 @@ def _leaders(t: pa.Table, likely: float) -> list[tuple[int, int]]:
     return out
 
 
-def _across(t: pa.Table, floor: float, percent: int, lo: int, hi: int) -> list[tuple[int, int]]:
-    """Pairs of different components that the screen and the sizes let pass;
-    in a pair of blocks only those that cross it."""
-    node, n, comp, own = (t.column(c).to_numpy() for c in ("node", "n", "comp", "own"))
-    short, out = _matrix(t), []
+def _joins(t: pa.Table, percent: int, lo: int, hi: int) -> list[tuple[int, int]]:
+    """Links between nodes of different components, by exact comparison of
+    their sets; in a pair of blocks only those that cross it. Components that
+    a link joins count as one from then on, so nodes already joined are not
+    compared, and at most one link fewer than there are components come out."""
+    node, own = t.column("node").to_numpy(), t.column("own").to_numpy()
+    _, root = np.unique(t.column("comp").to_numpy(), return_inverse=True)
+    lists = t.column("shingles").combine_chunks()
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    # numbers for the block's shingles: a set is then marked in one array
+    _, flat = np.unique(lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], return_inverse=True)
+    offsets = offsets - offsets[0]
+    size = np.diff(offsets)
+    mark = np.zeros(int(flat.max(initial=-1)) + 1, bool)
     rows = np.arange(len(node)) if lo == hi else np.flatnonzero(own == lo)
     against = rows if lo == hi else np.flatnonzero(own == hi)
+    out = []
     for r in rows:
-        a = against[(comp[against] != comp[r]) & (100 * np.minimum(n[against], n[r]) >= percent * np.maximum(n[against], n[r]))]
-        a = a[node[a] > node[r]] if lo == hi else a
-        if len(a):
-            a = a[_alike(short[a], short[r]) >= floor]
-            out += [(int(min(node[r], x)), int(max(node[r], x))) for x in node[a]]
+        a = against[(root[against] != root[r]) & (100 * np.minimum(size[against], size[r]) >= percent * np.maximum(size[against], size[r]))]
+        a = a[a > r] if lo == hi else a
+        if not len(a):
+            continue
+        mine = flat[offsets[r] : offsets[r + 1]]
+        mark[mine] = True
+        parts = np.concatenate([flat[offsets[k] : offsets[k + 1]] for k in a])
+        both = np.add.reduceat(mark[parts].astype(np.int64), np.concatenate([[0], np.cumsum(size[a])[:-1]]))
+        mark[mine] = False
+        for k in a[100 * both >= percent * (size[a] + size[r] - both)]:
+            if root[k] != root[r]:
+                root[root == root[k]] = root[r]
+                out.append((int(min(node[r], node[k])), int(max(node[r], node[k]))))
     return out
 
 
@@ -170,20 +188,20 @@ def near_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     shared = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     members = cut(banded.join(shared, "key").join(own.select("node", "n", "short"), "node"), "members")
 
-    likely, floor = percent / 100 - 0.05, percent / 100 - 0.17
-    first = confirm(docs, _pairs(_groups(members, True), lambda t, lo, hi: _leaders(t, likely)), words, percent)
-    comp = cut(components(first.select("u", "v")).withColumnRenamed("component", "comp"), "comp")
-    placed = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    likely = percent / 100 - 0.03
+    first = confirm(docs, _pairs(_groups(members.select("key", "node", "c", "short"), True), lambda t, lo, hi: _leaders(t, likely)), words, percent)
+    comp = cut(components(first).withColumnRenamed("component", "comp"), "comp")
+    placed = members.select("key", "node", "c").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    second = confirm(docs, _pairs(_groups(placed.join(open_keys, "key", "left_semi"), False), lambda t, lo, hi: _across(t, floor, percent, lo, hi)), words, percent)
-    u = comp.select(F.col("node").alias("u"), F.col("comp").alias("cu"))
-    v = comp.select(F.col("node").alias("v"), F.col("comp").alias("cv"))
-    bridges = second.join(u, "u", "left").join(v, "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
-    over = cut(components(bridges).withColumnRenamed("component", "top"), "over")
+    still = cut(placed.join(open_keys, "key", "left_semi"), "open")
+    sets = cut(shingle_sets(docs, still.select("node").distinct(), words), "sets")
+    second = _pairs(_groups(still.join(sets, "node"), False), lambda t, lo, hi: _joins(t, percent, lo, hi))
+    # what the first round joined stays joined: its stars go into the last graph
+    comp = cut(components(second.unionByName(comp.select(F.col("node").alias("u"), F.col("comp").alias("v")))).withColumnRenamed("component", "comp"), "comp")
+    discard(sets)
     discard(members)
 
     ends = tied.select("doc_id", "n", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    ends = ends.join(over.select(F.col("node").alias("comp"), "top"), "comp", "left")
-    linked = ends.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("top", "comp").alias("component_id"))
+    linked = ends.select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
     alone = signed.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
