@@ -14,7 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import cut, ship
+from tessera.session import arrow_rows, cut, ship
+
+PAIR_CELLS = 1 << 16  # numbers of Omega in a block of pairs
 
 
 def uniform_rows(keys: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -243,13 +245,42 @@ def leverages(rows: DataFrame, k: int, key: str = "i") -> DataFrame:
     return right_multiply(rows, root, key).select(key, F.aggregate("x", F.lit(0.0), lambda s, x: s + x * x).alias("leverage"))
 
 
-def quadratic_image(dtm: DataFrame, k: int, seed: int, types: int = 250) -> DataFrame:
-    """(i, x): a random projection of all products of type pairs j <= k of each
-    document. Pairs become one column index; their Omega rows are hashed."""
-    from tessera.operators.counts import column_pairs
+def quadratic_image(cells: DataFrame, k: int, seed: int) -> DataFrame:
+    """(i, x): a random projection of the products v_j v_k of all pairs j <= k
+    of the cells (i, j, v) of each row. A pair's Omega row is hashed from j and
+    k where it is used; a row's pairs are made in blocks and never leave it."""
+    ship(cells.sparkSession)
+    arrow_rows(cells.sparkSession)
+    size = max(256, PAIR_CELLS // k)
 
-    cells = column_pairs(dtm, types).select(F.col("doc_id").alias("i"), (F.col("j").cast("long") * types + F.col("k")).alias("j"), "v")
-    return random_image(cells, k, seed)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                out = np.zeros((b.num_rows, k))
+                for at, (js, vs) in enumerate(zip(b.column("js"), b.column("vs"), strict=True)):
+                    j, v = js.values.to_numpy().astype(np.uint64), vs.values.to_numpy()
+                    lo = 0
+                    while lo < len(j):
+                        hi = min(len(j), lo + max(1, size // (len(j) - lo)))
+                        w = np.triu(np.outer(v[lo:hi], v[lo:]))
+                        keys = (j[lo:hi, None] << np.uint64(32)) | j[None, lo:]
+                        out[at] += w.reshape(-1) @ uniform_rows(keys.reshape(-1), k, seed)
+                        lo = hi
+                yield pa.RecordBatch.from_arrays([b.column("i"), pa.array(list(out), pa.list_(pa.float64()))], names=["i", "x"])
+
+    pairs = F.sort_array(F.collect_list(F.struct(F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v"))))
+    rows = cells.groupBy(F.col("i").cast("long").alias("i")).agg(pairs.alias("c")).select("i", F.col("c.j").alias("js"), F.col("c.v").alias("vs"))
+    return rows.mapInArrow(run, "i long, x array<double>")
+
+
+def quadratic_range(cells: DataFrame, k: int, power: int = 0, seed: int = 77777) -> DataFrame:
+    """(i, x): an orthonormal basis of the random range of all products of
+    columns, with `power` passes of B B' over the columns themselves."""
+    y = cut(quadratic_image(cells, k, seed), "image")
+    for _ in range(power):
+        q, _ = orthonormal(y, k)
+        y = cut(times_rows(cells, cut(times_rows(flip(cells), q, k), "image"), k), "image")
+    return orthonormal(y, k)[0]
 
 
 def column_squares(rows: DataFrame, k: int) -> list[float]:

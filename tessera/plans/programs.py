@@ -41,17 +41,18 @@ def _with_rows(docs: DataFrame, dtm: DataFrame, rows: DataFrame, k: int, log_y:
 def lsa(docs: DataFrame, min_frequency: int = 3, adjustment: str = "w", quadratic: bool = False, use_log: bool = False, power_iter: int = 0, n_projections: int = 50, random_seed: int = 77777) -> dict:
     """LSA features of docs(doc_id, y, text) by randomised SVD of the scaled
     counts, and the sequence of regressions of y (if there is one) on log
-    length and features. Quadratic mode projects products of type pairs and
-    has no singular values."""
+    length and features. Quadratic mode projects the products of all pairs of
+    scaled types and has no singular values."""
     vocab = Vocabulary(docs, 0, False, min_frequency)
     types = cut(vocab.types, "types")
     dtm = cut(N.document_counts(vocab.tokens, types), "dtm")
     out = {"types": types, "dtm": dtm}
+    cells = _cells(N.scale_documents(dtm, adjustment))
     if quadratic:
-        q, _ = L.orthonormal(L.quadratic_image(dtm, n_projections, random_seed), n_projections)
+        q = L.quadratic_range(cells, n_projections, power_iter, random_seed)
         out |= {"features": cut(q, "lsa"), "d": None, "v": None}
     else:
-        u, d, v = L.randomized_svd(_cells(N.scale_documents(dtm, adjustment)), n_projections, power_iter, random_seed)
+        u, d, v = L.randomized_svd(cells, n_projections, power_iter, random_seed)
         out |= {"features": cut(u, "lsa"), "d": d, "v": v}
     if "y" in docs.columns:
         rows = _with_rows(docs, dtm, out["features"], n_projections, use_log)

@@ -119,6 +119,24 @@ def test_whole_analyses(spark):
     assert P.lsa(docs.drop("y"), 2, quadratic=True, n_projections=2)["d"] is None
 
 
+def test_quadratic_image_takes_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    m = np.where(rng.random((3, 400)) < 0.3, rng.random((3, 400)), 0)
+    cells = spark.createDataFrame([(i, j, float(m[i, j])) for i, j in zip(*map(np.ndarray.tolist, m.nonzero()), strict=True)], "i long, j long, v double")
+    j, k = np.triu_indices(400)
+    want = (m[:, j] * m[:, k]) @ L.uniform_rows(j.astype(np.uint64) << np.uint64(32) | k.astype(np.uint64), 3, 9)
+    got = {r["i"]: r["x"] for r in L.quadratic_image(cells, 3, 9).collect()}
+    assert np.allclose([got[i] for i in range(3)], want)
+
+
+def test_quadratic_mode_heeds_scaling_and_power(spark):
+    docs = S.corpus(spark, 30, np.ones(2), S.topics(2, 60, 0.2, 1), np.array([0.0, 2.0]), 40).drop("y")
+    basis = lambda *a, **b: np.array([r["x"] for r in P.lsa(docs, 2, *a, quadratic=True, n_projections=2, **b)["features"].orderBy("i").collect()])
+    raw, scaled, passed = basis("w"), basis("b"), basis("b", power_iter=1)
+    assert np.allclose(scaled.T @ scaled, np.eye(2))
+    assert not np.allclose(raw @ raw.T, scaled @ scaled.T) and not np.allclose(scaled @ scaled.T, passed @ passed.T)
+
+
 def test_command_line(spark, tmp_path):
     src = tmp_path / "corpus.txt"
     src.write_text("\n".join(f"{k % 7 + 1}.5 the {'big' if k % 2 else 'small'} house {'is' if k % 3 else 'was'} red" for k in range(40)))
