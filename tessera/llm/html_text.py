@@ -7,8 +7,10 @@ content (its texts) is measured by entropy to the base of the number of pages:
 1 where every page differs, 0 where all agree. A branch's importance is
 GAMMA x the mean content importance below it + (1 - GAMMA) x its own
 presentation importance; branches under LEAST, on MIN_PAGES pages or more, are
-removed from each page of the host. The article element (or main) is never
-removed by entropy, whatever its host repeats.
+removed from each page of the host, inside the article (or main) as well. The
+article element itself and what holds it are never removed by entropy, and
+where a page's article consists of low branches alone it is kept as it is,
+whatever its host repeats.
 
 Where markup itself says that a branch is no main text (menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, comments), its tag, class,
@@ -99,14 +101,15 @@ def _marks(name: str, rest: str) -> tuple[str, bool]:
 
 
 class Page:
-    """Blocks of a page: (text, nodes above it, dropped by markup, region), and
-    the presentation of its elements: node -> runs of child elements."""
+    """Blocks of a page: (text, nodes above it, dropped by markup, region, nodes
+    down to the region's element), and the presentation of its elements: node -> runs of child elements."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, tuple[int, ...], bool, int]] = []
+        self.blocks: list[tuple[str, tuple[int, ...], bool, int, int]] = []
         self.shapes: list[tuple[int, tuple[int, ...], str]] = []
-        # open elements: tag, nodes, dropped, region (2 article, 1 main), child runs
-        self.open: list[tuple[str, tuple[int, ...], bool, int, list[str]]] = [("", (0,), False, 0, [])]
+        # open elements: tag, nodes, dropped, region (2 article, 1 main), nodes
+        # down to the element that opened the region, child runs
+        self.open: list[tuple[str, tuple[int, ...], bool, int, int, list[str]]] = [("", (0,), False, 0, 0, [])]
         self.text: list[str] = []
         self._read(source)
 
@@ -115,12 +118,12 @@ class Page:
             text = " ".join(entities.unescape("".join(self.text)).split())
             self.text = []
             if text:
-                _, nodes, dropped, region, _ = self.open[-1]
-                self.blocks.append((text, nodes, dropped, region))
+                _, nodes, dropped, region, depth, _ = self.open[-1]
+                self.blocks.append((text, nodes, dropped, region, depth))
 
     def _close(self, to: int) -> None:
         while len(self.open) > to:
-            _, nodes, _, _, runs = self.open.pop()
+            _, nodes, *_, runs = self.open.pop()
             if runs:
                 self.shapes.append((nodes[-1], nodes, ">".join(runs)))
 
@@ -150,7 +153,7 @@ class Page:
             if name in ("br", "hr"):
                 self.text.append(" ")
             return
-        _, nodes, dropped, region, runs = self.open[-1]
+        _, nodes, dropped, region, depth, runs = self.open[-1]
         style, drops = _marks(name, rest)
         if name == "header" and not region:
             drops = True
@@ -158,8 +161,10 @@ class Page:
             if not runs or runs[-1] != style:
                 runs.append(style)
             nodes = (*nodes, _child(nodes[-1], style))
-            region = 2 if name == "article" else max(region, 1) if name == "main" else region
-        self.open.append((name, nodes, dropped or drops, region, []))
+            inner = 2 if name == "article" else max(region, 1) if name == "main" else region
+            if inner > region:
+                region, depth = inner, len(nodes)
+        self.open.append((name, nodes, dropped or drops, region, depth, []))
 
     def _end(self, name: str) -> None:
         for k in range(len(self.open) - 1, 0, -1):
@@ -183,8 +188,8 @@ class Page:
             if not inline or self.text:
                 if not inline:
                     self._flush()
-                    _, nodes, _, region, _ = self.open[-1]
-                    self.blocks.append((" ".join(entities.unescape(text).split()), nodes, True, region))
+                    _, nodes, _, region, depth, _ = self.open[-1]
+                    self.blocks.append((" ".join(entities.unescape(text).split()), nodes, True, region, depth))
             return
         self.text.append(text)
 
@@ -228,9 +233,11 @@ class Page:
     def main_text(self, low: frozenset[int] | set[int] = frozenset()) -> str:
         """Blocks of the article, else of main, else of the page, without those
         that markup or the style tree drops."""
-        kept = [(t, n, r) for t, n, d, r in self.blocks if not d]
+        kept = [(t, n[at:], r) for t, n, d, r, at in self.blocks if not d]
         best = max((r for *_, r in kept), default=0)
-        return " ".join(t for t, n, r in kept if r == best and (r or low.isdisjoint(n)))
+        own = [(t, n) for t, n, r in kept if r == best]
+        high = [t for t, n in own if low.isdisjoint(n)]
+        return " ".join(high or [t for t, _ in own if best])
 
 
 def _host(pages: DataFrame) -> DataFrame:

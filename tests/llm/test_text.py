@@ -41,6 +41,13 @@ def test_repeated_branches_of_a_host_go(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_repeated_branches_inside_the_article_go(spark):
+    page = lambda k: f"<body><main><article><div class=x>Same words on all pages</div><p>text {k}</p>own {k}</article></main></body>"
+    rows = [(k, f"http://h.org/{k}", page(k)) for k in range(30)] + [(k, f"http://same.org/{k}", "<article><p>One text</p></article>") for k in range(30, 40)]
+    text = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert text[3] == "text 3 own 3" and text[35] == "One text"
+
+
 WORDS = {"en": "the of and to in that with this from have".split(), "de": "der die und das nicht mit auf eine über ist".split(), "fr": "le la les des une dans que pour être français".split()}
 
 
