@@ -86,10 +86,10 @@ def top_by_tfidf(dtm: DataFrame, k: int = 5000) -> DataFrame:
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "idx")))
 
 
-def column_pairs(dtm: DataFrame, types: int = 250) -> DataFrame:
-    """(doc_id, j, k, v): products of the counts of all type pairs j <= k, of
-    the first `types` types."""
-    few = dtm.where(F.col("idx") < types)
+def column_pairs(dtm: DataFrame, types: int | None = None) -> DataFrame:
+    """(doc_id, j, k, v): products of the counts of all type pairs j <= k of
+    each document, or of those of the first `types` types."""
+    few = dtm if types is None else dtm.where(F.col("idx") < types)
     a = few.select("doc_id", F.col("idx").alias("j"), F.col("n").alias("x"))
     b = few.select("doc_id", F.col("idx").alias("k"), F.col("n").alias("y"))
     return a.join(b, "doc_id").where("j <= k").select("doc_id", "j", "k", (F.col("x") * F.col("y")).alias("v"))

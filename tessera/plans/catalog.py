@@ -174,6 +174,11 @@ def quadratic_terms(spark, sf_dir):
     return N.column_pairs(cut(_dtm(spark, sf_dir), "dtm"), 20)
 
 
+@query("quadratic_terms_all")
+def quadratic_terms_all(spark, sf_dir):
+    return N.column_pairs(cut(_dtm(spark, sf_dir), "dtm"))
+
+
 # --- bigrams
 
 

@@ -63,3 +63,19 @@ def test_totals_and_share(lines):
 def test_literal_oov_adds_up(spark):
     df = spark.createDataFrame([("OOV",)] * 3 + [("x",)], "tok string")
     assert [tuple(r) for r in ranked(collapse(type_counts(df), 2)).collect()] == [("OOV", 4, 0)]
+
+
+def test_column_pairs_of_all_types(spark):
+    cells = [(d, j, 1 + (d + j) % 3) for d in range(2) for j in range(d, 300, 2 + d)]
+    got = [tuple(r) for r in N.column_pairs(spark.createDataFrame(cells, "doc_id long, idx int, n long")).collect()]
+    want = [(d, j, k, x * y) for d, j, x in cells for e, k, y in cells if d == e and j <= k]
+    assert sorted(got) == sorted(want) and max(k for _, _, k, _ in got) > 250
+
+
+def test_all_quadratic_terms_have_a_query(spark, monkeypatch):
+    from tessera.plans import catalog, registry
+
+    dtm = spark.createDataFrame([(1, 0, 2), (1, 25, 3)], "doc_id long, idx int, n long")
+    monkeypatch.setattr(catalog, "_dtm", lambda *_: dtm)
+    got = registry.queries()["quadratic_terms_all"](spark, "")
+    assert sorted(map(tuple, got.collect())) == [(1, 0, 0, 4), (1, 0, 25, 6), (1, 25, 25, 9)]
