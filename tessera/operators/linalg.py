@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tessera.session import arrow_rows, cut, ship
 
 PAIR_CELLS = 1 << 16  # numbers of Omega in a block of pairs
+WIDE = 512  # columns over which a Gram matrix travels by rows
 
 
 def uniform_rows(keys: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -65,8 +66,11 @@ def times_rows(cells: DataFrame, rows: DataFrame, k: int, left: str = "i", inner
 
 
 def gram(rows: DataFrame, k: int, column: str = "x") -> np.ndarray:
-    """X'X of rows of k numbers: one pass, k x k sums from each task."""
+    """X'X of rows of k numbers: one pass, k x k sums from each task; those of
+    a wide matrix travel and come to the driver by rows, not by cells."""
     ship(rows.sparkSession)
+    if k > WIDE:
+        return _wide_gram(rows, k, column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((k, k))
@@ -83,6 +87,51 @@ def gram(rows: DataFrame, k: int, column: str = "x") -> np.ndarray:
     return out.reshape(k, k)
 
 
+def _wide_gram(rows: DataFrame, k: int, column: str) -> np.ndarray:
+    arrow_rows(rows.sparkSession)
+    doubles = pa.list_(pa.float64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, some = np.zeros((k, k)), False
+        for b in batches:
+            if b.num_rows:
+                x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+                total += x.T @ x
+                some = True
+        for lo in range(0, k if some else 0, 256):
+            part = total[lo : lo + 256]
+            ends = pa.array(np.arange(len(part) + 1, dtype=np.int32) * k)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + len(part))), pa.ListArray.from_arrays(ends, pa.array(part.reshape(-1)))], names=["at", "g"])
+
+    def add(group: pa.Table) -> pa.Table:
+        total = group.column("g").combine_chunks().flatten().to_numpy().reshape(-1, k).sum(0)
+        return pa.table({"at": group.column("at").slice(0, 1), "g": pa.array([total], doubles)})
+
+    parts = rows.select(F.col(column).cast("array<double>").alias("x")).mapInArrow(run, "at long, g array<double>")
+    sums = parts.groupBy("at").applyInArrow(add, "at long, g array<double>").toArrow()
+    out = np.zeros((k, k))
+    if sums.num_rows:
+        out[sums.column("at").to_numpy()] = sums.column("g").combine_chunks().flatten().to_numpy().reshape(-1, k)
+    return out
+
+
+def dense_rows(cells: DataFrame, k: int) -> DataFrame:
+    """(i, x): rows of k numbers of (i, j, v), zero where there is no cell."""
+    ship(cells.sparkSession)
+    arrow_rows(cells.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                sizes = b.column("js").value_lengths().to_numpy()
+                x = np.zeros((b.num_rows, k))
+                x[np.repeat(np.arange(b.num_rows), sizes), b.column("js").flatten().to_numpy()] = b.column("vs").flatten().to_numpy()
+                yield pa.RecordBatch.from_arrays([b.column("i"), pa.array(list(x), pa.list_(pa.float64()))], names=["i", "x"])
+
+    few = cells.where(F.col("j") < k).groupBy(F.col("i").cast("long").alias("i")).agg(F.collect_list(F.struct(F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v"))).alias("c"))
+    return few.select("i", F.col("c.j").alias("js"), F.col("c.v").alias("vs")).mapInArrow(run, "i long, x array<double>")
+
+
 def cross_gram(rows: DataFrame, a: str, b: str, p: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A'A, A'B and B'B of two array columns, in one pass."""
     g = gram(rows.select(F.concat(F.col(a).cast("array<double>"), F.col(b).cast("array<double>")).alias("x")), p + q)

@@ -90,7 +90,7 @@ def bigram_sides(docs: DataFrame, min_frequency: int = 3, power_iter: int = 0, n
     return {name: L.randomized_svd(N.scale_bigrams(cells, types, how), n_projections, power_iter, random_seed) for name, how in (("raw", "w"), ("left", "left"), ("right", "right"), ("sym", "b"))}
 
 
-def regressor(docs: DataFrame, min_frequency: int = 3, bigram_skip: int = 0, bidirectional: bool = False, power_iter: int = 0, n_projections: int = 50, random_seed: int = 77777, n_words: int = 500) -> dict:
+def regressor(docs: DataFrame, min_frequency: int = 3, bigram_skip: int = 0, bidirectional: bool = False, power_iter: int = 0, n_projections: int = 50, random_seed: int = 77777, n_words: int = 3000) -> dict:
     """Regressions of log y on the leading word columns, with the parsed
     attributes, LSA and bigram features beside them."""
     vocab = Vocabulary(docs, 0, True, min_frequency)
@@ -98,9 +98,8 @@ def regressor(docs: DataFrame, min_frequency: int = 3, bigram_skip: int = 0, bid
     dtm = cut(N.document_counts(vocab.tokens, types), "dtm")
     names = [r["type"] for r in types.where(F.col("idx") < n_words).orderBy("idx").collect()]
     k = len(names)
-    words = dtm.where(F.col("idx") < k).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("idx", F.col("n").cast("double")))).alias("w"))
-    x = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.coalesce(F.try_element_at("w", j), F.lit(0.0)))
-    rows = _with_rows(docs, dtm, words.select(F.col("doc_id").alias("i"), x.alias("x")), k, True)
+    words = cut(L.dense_rows(_cells(N.scale_documents(dtm, "w")), k), "words")
+    rows = _with_rows(docs, dtm, words, k, True)
     cells = N.scale_bigrams(vocab_bigrams(vocab, types, bigram_skip), types, "b")
     p = L.random_range(cells, n_projections, power_iter, random_seed)
     centroid = L.times_rows(_cells(N.entropy_weighted(dtm)), p, n_projections)
@@ -212,6 +211,7 @@ def _parser() -> argparse.ArgumentParser:
             "has_y": ("-y", "--has_y", {"action": "store_true"}), "use_log": ("-l", "--use_log", {"action": "store_true"}), "power_iter": ("-p", "--power_iter", {"type": int, "default": 0}),
             "n_projections": ("-r", "--n_projections", {"type": int, "default": 50}), "random_seed": ("-s", "--random_seed", {"type": int, "default": 77777}), "output_path": ("-o", "--output_path", {"default": "."}),
             "bigram_skip": ("-k", "--bigram_skip", {"type": int, "default": 0}), "bidirectional": ("-b", "--bidirectional", {"action": "store_true"}),
+            "n_words": ("-w", "--n_words", {"type": int, "default": 3000}),
         }
         for o in options:
             short, long, how = known[o]
@@ -222,7 +222,7 @@ def _parser() -> argparse.ArgumentParser:
     program("lsa_regr", "file", "adjustment", "quadratic", "has_y", "use_log", *common)
     program("bigram_regr", "file", "adjustment", *common)
     program("bigram", "text_file", *common)
-    program("regressor", "vocab_file", "regr_file", "bigram_skip", "bidirectional", *common)
+    program("regressor", "vocab_file", "regr_file", "bigram_skip", "bidirectional", "n_words", *common)
     program("unified_regressor", "vocab_file", "regr_file", "bigram_skip", *common)
     s = program("seq_regression")
     for short, long, how in (("-n", "--n", {"type": int}), ("-Y", "--y_file", {}), ("-i", "--n_i", {"type": int, "default": 0}), ("-I", "--i_file", {}), ("-x", "--n_x", {"type": int, "default": 0}), ("-X", "--x_file", {}), ("-v", "--folds", {"type": int, "default": 0}), ("-s", "--seed", {"type": int, "default": 2837}), ("-r", "--rotate", {"action": "store_true"}), ("-o", "--output_file", {"default": "results"})):
@@ -269,7 +269,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif o.program in ("regressor", "unified_regressor"):
         docs = text_sources.corpus(spark, o.regr_file, True)
         if o.program == "regressor":
-            out = regressor(docs, bigram_skip=o.bigram_skip, bidirectional=o.bidirectional, **common)
+            out = regressor(docs, bigram_skip=o.bigram_skip, bidirectional=o.bidirectional, n_words=o.n_words, **common)
             sinks.write_tsv(out["parsed"], f"{o.output_path}/parsed")
             sinks.matrix(out["lsa"], o.n_projections, "L", f"{o.output_path}/LSA_{o.n_projections}", "i")
             sinks.matrix(out["bigram"], o.n_projections, "B", f"{o.output_path}/bigram_{o.n_projections}_{o.bigram_skip}", "i")

@@ -137,6 +137,20 @@ def test_quadratic_mode_heeds_scaling_and_power(spark):
     assert not np.allclose(raw @ raw.T, scaled @ scaled.T) and not np.allclose(scaled @ scaled.T, passed @ passed.T)
 
 
+def test_regressor_goes_past_500_words(spark):
+    rng = np.random.default_rng(5)
+    docs = spark.createDataFrame([(d, float(rng.random() + 1), " ".join(f"w{j}" for j in rng.integers(0, 700, 200))) for d in range(40)], "doc_id long, y double, text string")
+    out = P.regressor(docs, 3, n_projections=2)
+    n = out["types"].count()
+    assert n > 500 and len(out["steps"]) == 5 + n
+    x = np.array([r["x"] for r in out["rows"].collect()])
+    counts = {(r["doc_id"], r["idx"]): r["n"] for r in out["dtm"].collect()}
+    docs_at = [r["doc_id"] for r in out["rows"].select("doc_id").collect()]
+    assert x.shape == (40, n) and all(x[docs_at.index(d), j] == c for (d, j), c in counts.items()) and x.sum() == sum(counts.values())
+    assert np.allclose(L.gram(out["rows"], n), x.T @ x)
+    assert P._parser().parse_args(["regressor"]).n_words == 3000
+
+
 def test_command_line(spark, tmp_path):
     src = tmp_path / "corpus.txt"
     src.write_text("\n".join(f"{k % 7 + 1}.5 the {'big' if k % 2 else 'small'} house {'is' if k % 3 else 'was'} red" for k in range(40)))
