@@ -163,6 +163,11 @@ def top_tfidf(spark, sf_dir):
     return score.orderBy(F.desc("score"), "idx").limit(500)
 
 
+@query("top_tfidf_all")
+def top_tfidf_all(spark, sf_dir):
+    return N.top_by_tfidf(cut(_dtm(spark, sf_dir), "dtm"), 5000)
+
+
 @query("word_columns", f"WITH {DTM} SELECT doc_id, sum(CASE WHEN idx = 0 THEN n ELSE 0 END)::BIGINT AS w0, sum(CASE WHEN idx = 1 THEN n ELSE 0 END)::BIGINT AS w1, sum(CASE WHEN idx = 2 THEN n ELSE 0 END)::BIGINT AS w2 FROM dtm WHERE idx < 3 GROUP BY doc_id")
 def word_columns(spark, sf_dir):
     few = _dtm(spark, sf_dir).where("idx < 3").groupBy("doc_id").pivot("idx", [0, 1, 2]).agg(F.sum("n")).na.fill(0)
@@ -480,6 +485,15 @@ def log_ratios(spark, sf_dir):
     return E.log_ratios(G.group_proportions(rows), "src0").select("grp", "type", _r("v").alias("v"))
 
 
+DIST_ALL = "d AS (SELECT lang, source AS type, count(*) / sum(count(*)) OVER (PARTITION BY lang) AS p FROM documents GROUP BY 1, 2)"
+
+
+@query("log_ratios_all", f"WITH {DIST_ALL} SELECT x.lang AS grp, x.type, round(ln(greatest(x.p, 0.0001) / greatest(y.p, 0.0001)), 6) AS v FROM d x JOIN d y ON x.lang = y.lang AND y.type = 'src0' WHERE x.type <> 'src0'")
+def log_ratios_all(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents", "lang", "source").select(F.col("lang").alias("grp"), F.col("source").alias("type"))
+    return E.log_ratios(G.group_proportions(rows), "src0").select("grp", "type", _r("v").alias("v"))
+
+
 @query("set_operations", "WITH a AS (SELECT doc_id FROM documents WHERE n_chars > 500), b AS (SELECT doc_id FROM labels WHERE quality = 1) SELECT 'both' AS side, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'first', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'either', count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)")
 def set_operations(spark, sf_dir):
     a = table(spark, sf_dir, "documents", "doc_id", "n_chars").where("n_chars > 500").select("doc_id")

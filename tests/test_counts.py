@@ -79,3 +79,12 @@ def test_all_quadratic_terms_have_a_query(spark, monkeypatch):
     monkeypatch.setattr(catalog, "_dtm", lambda *_: dtm)
     got = registry.queries()["quadratic_terms_all"](spark, "")
     assert sorted(map(tuple, got.collect())) == [(1, 0, 0, 4), (1, 0, 25, 6), (1, 25, 25, 9)]
+
+
+def test_top_tfidf_all_goes_past_500_types(spark, monkeypatch):
+    from tessera.plans import catalog, registry
+
+    cells = [(d, j, 1 + j) for d in range(2) for j in range(d * 100, 600)]
+    monkeypatch.setattr(catalog, "_dtm", lambda *_: spark.createDataFrame(cells, "doc_id long, idx int, n long"))
+    got = registry.queries()["top_tfidf_all"](spark, "").orderBy("place").collect()
+    assert len(got) == 600 and [r["idx"] for r in got[:2]] == [99, 98] and got[0]["score"] == pytest.approx(100 * 0.693147, abs=1e-3)

@@ -35,6 +35,14 @@ def test_matches_sql(spark, duck, name):
     assert _rows(got.columns, got.collect()) == _rows(columns, want.fetchall())
 
 
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test data")
+def test_log_ratios_all_holds_every_language(spark, duck):
+    got = registry.queries()["log_ratios_all"](spark, DIR)
+    want = duck.execute(registry.oracle_sql()["log_ratios_all"])
+    assert _rows(got.columns, got.collect()) == _rows([d[0] for d in want.description], want.fetchall())
+    assert {r["grp"] for r in got.select("grp").collect()} > {"en", "de"}
+
+
 def test_every_twin_has_a_query():
     assert set(registry.oracle_sql()) <= set(registry.queries())
 
