@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import arrow_rows, ship
+from tessera.llm.words import slices
+from tessera.session import ship
 
 SIZE = 400
 UNKNOWN = "und"
@@ -33,37 +34,51 @@ _CHUNK = 1 << 20
 
 @lru_cache(1)
 def _letters() -> np.ndarray:
-    return np.array([chr(c).isalpha() if not 0xD800 <= c < 0xE000 else False for c in range(0x30000)])
+    return np.array([not 0xD800 <= c < 0xE000 and chr(c).isalpha() for c in range(0x110000)])
 
 
 def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """n-gram keys, ascending, and their counts in a text. A key holds up to
-    three numbers of 21 bits: code point + 1, or 1 for the bound of a word."""
-    if len(text) > _CHUNK:  # pieces end at a space if one is near, so that hardly any n-gram is cut
-        keys, counts, at = [], [], 0
-        while at < len(text):
-            end = text.find(" ", at + _CHUNK)
-            end = len(text) if end < 0 or end > at + 2 * _CHUNK else end
-            end = min(end, at + 2 * _CHUNK)
-            k, n = ngrams(text[at:end]) if end - at <= _CHUNK else _count(text[at:end])
-            keys.append(k)
-            counts.append(n)
-            at = end
-        return _merge(keys, counts)
-    return _count(text)
-
-
-def _count(text: str) -> tuple[np.ndarray, np.ndarray]:
-    points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4").astype(np.int64)
-    letter = _letters()[np.minimum(points, 0x2FFFF)]
-    if not letter.any():
+    three numbers of 21 bits: code point + 1, or 1 for the bound of a word.
+    Long texts are counted in pieces, each with the two characters before it,
+    so that n-grams are the same wherever a piece ends."""
+    text = text.lower()
+    if len(text) <= _CHUNK:
+        return _count(_bounded(text), 0)
+    keys, counts, before = [], [], np.zeros(0, np.int64)
+    for at in range(0, len(text), _CHUNK):
+        piece = _bounded(text[at : at + _CHUNK], at == 0, at + _CHUNK >= len(text))
+        points = np.concatenate([before, piece])
+        points = points[_single(points)]
+        k, n = _count(points, len(before))
+        keys.append(k)
+        counts.append(n)
+        before = points[-2:]
+    return _merge(keys, counts)
+
+
+def _single(points: np.ndarray) -> np.ndarray:
+    """All but repeated bounds."""
+    return np.concatenate([[True], (points[1:] != 1) | (points[:-1] != 1)]) if len(points) else np.zeros(0, bool)
+
+
+def _bounded(text: str, first: bool = True, last: bool = True) -> np.ndarray:
+    """Letters' code points + 1 and one bound between words."""
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4").astype(np.int64)
+    points = np.where(_letters()[points], points + 1, 1)
+    points = np.concatenate([[1] * first, points, [1] * last]).astype(np.int64)
+    return points[_single(points)]
+
+
+def _count(points: np.ndarray, known: int) -> tuple[np.ndarray, np.ndarray]:
+    """n-grams that end after the first `known` points."""
+    if not (points != 1).any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    points = np.where(letter, points + 1, 1)
-    points = np.concatenate([[1], points, [1]])
-    points = points[np.concatenate([[True], (points[1:] != 1) | (points[:-1] != 1)])]  # one bound between words
-    two = points[:-1] << 21 | points[1:]
-    three = (two[:-1] << 21 | points[2:])[points[1:-1] != 1]
-    return np.unique(np.concatenate([points[points != 1], two, three]), return_counts=True)
+    one = points[known:]
+    two = (points[:-1] << 21 | points[1:])[max(known - 1, 0) :]
+    three = (points[:-2] << 42 | points[1:-1] << 21 | points[2:])[max(known - 2, 0) :]
+    middle = points[1:-1][max(known - 2, 0) :]
+    return np.unique(np.concatenate([one[one != 1], two, three[middle != 1]]), return_counts=True)
 
 
 def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +100,6 @@ def ranked(keys: np.ndarray, counts: np.ndarray, size: int = SIZE) -> np.ndarray
 def learn(train: DataFrame, size: int = SIZE) -> dict[str, np.ndarray]:
     """Profiles by language from every row of train(text, lang)."""
     ship(train.sparkSession)
-    arrow_rows(train.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
@@ -96,7 +110,7 @@ def learn(train: DataFrame, size: int = SIZE) -> dict[str, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k), pa.array(n)], names=["lang", "gram", "n"])
 
         pending = 0
-        for b in batches:
+        for b in slices(batches):
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
                 k, n = ngrams(text)
                 parts = held.setdefault(lang, [])
@@ -145,14 +159,13 @@ class Matcher:
 def predict(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = SIZE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """lang_pred and score for every row of docs, beside the kept columns."""
     ship(docs.sparkSession)
-    arrow_rows(docs.sparkSession)
     columns = list(dict.fromkeys([*keep, "text"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tessera.llm.language_id import Matcher
 
         matcher = Matcher(profiles, size)
-        for b in batches:
+        for b in slices(batches):
             found = [matcher.predict(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*keep, "lang_pred", "lang_score"])
 
