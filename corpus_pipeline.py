@@ -38,13 +38,15 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document of the smallest doc_id."""
+    """Of each group of near copies, the document of the smallest doc_id. Where
+    several rows have that doc_id, one of each different text stays; rows
+    without a doc_id all stay."""
     docs = docs.select(*COLUMNS)
     classes = minmax_dedup.near_classes(docs, words=5, percent=80)
     ids = classes.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"))
     kept = docs.join(ids, "doc_id")
     if ids.where("rows > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
+        kept = kept.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["doc_id", "digest"])
     return kept.select(*COLUMNS).unionByName(docs.where("doc_id is null"))
 
 

@@ -39,7 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import arrow_rows, cut, ship
+from tessera.llm.words import slices
+from tessera.session import cut, ship
 
 GAMMA, LEAST, MIN_PAGES, BROADCAST_NODES, SALTS = 0.9, 0.3, 5, 200_000, 64
 _TAG = re.compile(r"""<(?:!--(?P<comment>)|(?P<other>[!?][^>]*)>|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?>[^>"']+|"[^"]*"|'[^']*')*)>)""")
@@ -86,7 +87,7 @@ def _marks(name: str, rest: str) -> tuple[str, bool]:
         if key in ("class", "id"):
             words = _WORD.findall(value)
             if key == "class" and words:
-                style += "." + ".".join(words[:4])
+                style += "." + ".".join(words)
             if name not in ("article", "main", "body", "html"):
                 dropped |= any(w in DROPPED_WORDS and not (k and words[k - 1] in _NOT_OWN) for k, w in enumerate(words))
         elif key == "role":
@@ -253,7 +254,7 @@ def low_nodes(pages: DataFrame) -> DataFrame:
         from tessera.llm.html_text import Page
 
         digest = lambda t: xxhash.xxh3_64_intdigest(t) - (1 << 63)
-        for b in batches:
+        for b in slices(batches, "html"):
             found: dict[tuple, int] = {}
             for host, source in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
                 page, seen = Page(source), set()
@@ -295,7 +296,6 @@ def extract(pages: DataFrame) -> DataFrame:
     pages(page_id, url, html)."""
     spark = pages.sparkSession
     ship(spark)
-    arrow_rows(spark)
     hosted = _host(pages.select("page_id", "url", "html"))
     low = cut(low_nodes(hosted), "low-nodes")
     by_host = low.groupBy("host").agg(F.collect_set("node").alias("low"))
@@ -308,7 +308,7 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tessera.llm.html_text import Page
 
-        for b in batches:
+        for b in slices(batches, "html"):
             texts = [Page(h or "").main_text(set(x or ())) for h, x in zip(b.column("html").to_pylist(), b.column("low").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

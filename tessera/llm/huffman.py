@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.wordbpe import WordBpe, crc_of, tokenizer_path
-from tessera.session import arrow_rows, cut, discard, shared_dir, ship
+from tessera.llm.words import slices
+from tessera.session import cut, discard, shared_dir, ship
 
 END_ID = 1
 LIMIT = 18
@@ -152,19 +153,27 @@ def decode_block(data: bytes, table: np.ndarray, limit: int = LIMIT) -> tuple[li
 
 
 def tokenise(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id, n_tokens and ids (zstd of little-endian uint16) of docs."""
+    """doc_id, n_tokens and ids (zstd of little-endian uint16) of docs. The first
+    row of each slice also carries the slice's counts of ids, so that nobody
+    has to unpack the ids to count them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        bpe, press, end = WordBpe.of(path), zstandard.ZstdCompressor(1), int(end_id).to_bytes(2, "little")
-        for b in batches:
-            ids = [bpe.encode(t) + end for t in b.column("text").cast(pa.binary()).to_pylist()]
+        from tessera.llm.wordbpe import WordBpe
+
+        bpe, press = WordBpe.of(path), zstandard.ZstdCompressor(1)
+        for b in slices(batches):
+            ids = bpe.encode(b.column("text"), end_id)
+            counts = np.bincount(np.concatenate(ids), minlength=IDS) if ids else np.zeros(0, np.int64)
+            used = np.flatnonzero(counts)
+            first = [used.astype("<u2").tobytes() + counts[used].astype("<u4").tobytes()] if ids else []
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").cast(pa.int64()), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array([press.compress(x) for x in ids], pa.binary())], names=["doc_id", "n_tokens", "ids"]
+                [b.column("doc_id").cast(pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([press.compress(x.tobytes()) for x in ids], pa.binary()), pa.array(first + [None] * (len(ids) - 1), pa.binary())],
+                names=["doc_id", "n_tokens", "ids", "counts"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary, counts binary")
 
 
 def _unpacked(b: pa.RecordBatch) -> list[np.ndarray]:
@@ -181,12 +190,13 @@ def id_counts(ids: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(IDS, np.int64)
         for b in batches:
-            if b.num_rows:
-                total += np.bincount(np.concatenate(_unpacked(b)), minlength=IDS)
+            for one in b.column("counts").to_pylist():
+                n = len(one) // 6
+                total[np.frombuffer(one, "<u2", n)] += np.frombuffer(one, "<u4", n, 2 * n)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["id", "n"])
 
-    rows = ids.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = ids.where("counts is not null").select("counts").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(IDS, np.int64)
     for r in rows:
         counts[r["id"]] = r["n"]
@@ -197,7 +207,6 @@ def write(docs: DataFrame, out: str, path: str | None = None, end_id: int = END_
     """Encode docs(doc_id, text) into files below out; the code lengths."""
     spark = docs.sparkSession
     ship(spark)
-    arrow_rows(spark)
     ids = cut(tokenise(docs, path or tokenizer_path(), end_id), "ids")
     lengths = code_lengths(id_counts(ids), limit)
 
@@ -227,7 +236,7 @@ def write(docs: DataFrame, out: str, path: str | None = None, end_id: int = END_
         if keys:
             yield flush()
 
-    ordered = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n_tokens", "ids")
+    ordered = ids.drop("counts").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n_tokens", "ids")
     blocks = ordered.mapInArrow(run, "part int, block long, first_doc_id long, n_docs long, n_tokens long, tokens_before long, data binary")
     blocks.write.option("compression", "none").parquet(f"{out}/blocks")
     spark.createDataFrame([(limit, bytearray(lengths.tobytes()))], "max_bits int, lengths binary").coalesce(1).write.parquet(f"{out}/code")

@@ -7,13 +7,20 @@
 3. Nodes that share a band meet in buckets. A first round compares each node
    to few leaders of its bucket by signature (8 bits a value) and confirms the
    likely pairs on full sets; that joins most copies.
-4. Buckets that still hold several components get the full sets of their
-   nodes. Buckets over BLOCK nodes are dealt to blocks and pairs of blocks. In
-   each, all nodes of different components are compared exactly, without
-   emitting pairs: only links that join components come out.
+4. In buckets that still hold several components, nodes stay that have a
+   partner of another component whose signature is alike within SAFE below the
+   bound (more than five standard deviations of the estimate: what truly passes
+   is missed once in 10^7). Those alone get their full sets, and all nodes of
+   different components are compared exactly, without emitting pairs: only
+   links that join components come out. Buckets over BLOCK nodes are dealt to
+   blocks and pairs of blocks in both steps.
 5. Links become components, in both rounds.
 
-At a likeness of 0.85 two sets share no band with probability 7e-7.
+Two sets share no band with probability 7e-7 at a likeness of 0.85, and 1e-4
+at 0.80.
+
+Sets that more than one in HOT_PARTS of all documents hold are at most
+HOT_PARTS, so they are broadcast; copies of other sets meet by a join.
 
 Defined results: null, empty and blank texts have no shingles and no links;
 null doc_ids take no part (component_id null, kept); rows that repeat a doc_id
@@ -30,37 +37,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.shingles import MinMax, mix, shingle_hashes
-from tessera.session import arrow_rows, cut, discard, ship
+from tessera.llm import shingles
+from tessera.llm.shingles import MinMax, mix
+from tessera.llm.words import slices
+from tessera.session import cut, discard, ship
 
 PERMUTATIONS, BANDS, ROWS, BLOCK = 90, 30, 6, 1024
 SLOTS = 1 << 20
+SAFE, HOT_PARTS, HOT_LEAST = 0.15, 4096, 256
+
+
+class Signer:
+    """Band keys and the short signature of a set, by min-max hashing."""
+
+    def __init__(self):
+        self.family = MinMax(PERMUTATIONS)
+        self.factors = np.random.default_rng(77).integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def sign(self, s: np.ndarray) -> tuple[np.ndarray, bytes]:
+        v = mix(self.family.values(s))
+        return band_keys(v[: BANDS * ROWS], self.factors), (v >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
-def signatures(docs: DataFrame, words: int) -> DataFrame:
+def band_keys(values: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """One 64-bit key for each band (row of factors) of signature values."""
+    sums = (values.reshape(factors.shape) * factors).sum(1, dtype=np.uint64)
+    return mix(sums + np.arange(len(factors), dtype=np.uint64)).view(np.int64)
+
+
+def signatures(docs: DataFrame, words: int, signer=Signer, lower: bool = True) -> DataFrame:
     """doc_id, n, set hash (h1, h2), band keys and the short signature."""
     ship(docs.sparkSession)
-    arrow_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        family = MinMax(PERMUTATIONS)
-        factors = np.random.default_rng(77).integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
-        for b in batches:
+        own = signer()
+        for b in slices(batches):
             n, h1, h2, keys, short = [], [], [], [], []
-            for text in b.column("text").cast(pa.binary()).to_pylist():
-                s = np.unique(shingle_hashes(text, words))
+            for s in shingles.shingle_sets(b.column("text"), words, lower):
                 n.append(len(s))
                 if not len(s):
                     h1.append(0), h2.append(0), keys.append([]), short.append(b"")
                     continue
                 whole = xxhash.xxh3_128_intdigest(s.tobytes())
-                v = mix(family.values(s))
                 h1.append((whole & (1 << 64) - 1) - (1 << 63))
                 h2.append((whole >> 64) - (1 << 63))
-                keys.append(mix((v[: BANDS * ROWS].reshape(BANDS, ROWS) * factors).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64))
-                short.append((v >> np.uint64(56)).astype(np.uint8).tobytes())
+                band, one = own.sign(s)
+                keys.append(band)
+                short.append(one)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.binary())],
                 names=["doc_id", "n", "h1", "h2", "bands", "short"],
@@ -132,6 +157,22 @@ def _joins(t: pa.Table, percent: int, lo: int, hi: int) -> list[tuple[int, int]]
     return out
 
 
+def _plausible(t: pa.Table, least: float, percent: int, lo: int, hi: int) -> np.ndarray:
+    """Rows with a partner of another component that by size and signature may
+    pass the bound; in a pair of blocks only partners across it count."""
+    own, comp, size, short = t.column("own").to_numpy(), t.column("comp").to_numpy(), t.column("n").to_numpy(), _matrix(t)
+    out = np.zeros(t.num_rows, bool)
+    rows = np.flatnonzero(own == lo)
+    against = rows if lo == hi else np.flatnonzero(own == hi)
+    for r in rows:
+        a = against[(comp[against] != comp[r]) & (100 * np.minimum(size[against], size[r]) >= percent * np.maximum(size[against], size[r]))]
+        if len(a):
+            a = a[_alike(short[a], short[r]) >= least]
+            out[a] = True
+            out[r] |= len(a) > 0
+    return out
+
+
 def _matrix(t: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(t.column("short").to_pylist()), np.uint8).reshape(t.num_rows, -1)
 
@@ -144,7 +185,17 @@ def _pairs(grouped: DataFrame, choose) -> DataFrame:
     return grouped.groupBy("key", "lo", "hi").applyInArrow(run, "u long, v long").distinct()
 
 
-def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+def _candidates(grouped: DataFrame, percent: int) -> DataFrame:
+    """(key, node) of the rows that _plausible leaves."""
+
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        keep = _plausible(t, percent / 100 - SAFE, percent, key[1].as_py(), key[2].as_py()) if t.num_rows > 1 else np.zeros(t.num_rows, bool)
+        return t.select(["key", "node"]).filter(pa.array(keep))
+
+    return grouped.groupBy("key", "lo", "hi").applyInArrow(run, "key long, node long").distinct()
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int, lower: bool = True) -> DataFrame:
     """(node, shingles) of the documents in nodes. Slots of a hash, at most
     SLOTS of them, keep most other texts out before the exact join."""
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
@@ -152,18 +203,18 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     near = docs.select("doc_id", "text").withColumn("slot", slot("doc_id")).join(F.broadcast(slots), "slot", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in b.column("text").cast(pa.binary()).to_pylist()]
+        for b in slices(batches):
+            sets = [x.view(np.int64) for x in shingles.shingle_sets(b.column("text"), words, lower)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
     return near.select("doc_id", "text").mapInArrow(run, "node long, shingles array<long>").join(nodes, "node", "left_semi")
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+def confirm(docs: DataFrame, pairs: DataFrame, words: int, percent: int, lower: bool = True) -> DataFrame:
     """The pairs (u, v) whose full shingle sets are alike enough."""
     pairs = cut(pairs, "pairs")
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    sets = cut(shingle_sets(docs, nodes, words), "sets")
+    sets = cut(shingle_sets(docs, nodes, words, lower), "sets")
     left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
     right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
@@ -174,32 +225,44 @@ def confirm(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Data
     return links
 
 
-def near_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def near_classes(docs: DataFrame, words: int = 5, percent: int = 80, signer=Signer, lower: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of
-    docs(doc_id, text)."""
+    docs(doc_id, text). A signer makes the signatures that candidates come from."""
     ship(docs.sparkSession)
-    arrow_rows(docs.sparkSession)
-    signed = cut(signatures(docs, words), "signed")
+    signed = cut(signatures(docs, words, signer, lower), "signed")
     alive = signed.where("n > 0 and doc_id is not null")
-    nodes = alive.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"))
-    tied = cut(alive.select("doc_id", "h1", "h2", "n", "bands", "short").join(nodes, ["h1", "h2", "n"]).select("doc_id", "n", "node", F.when(F.col("doc_id") == F.col("node"), F.col("bands")).alias("bands"), F.when(F.col("doc_id") == F.col("node"), F.col("short")).alias("short")), "tied")
+    same = ["h1", "h2", "n"]
+    copies = alive.groupBy(*same).agg(F.min("doc_id").alias("node"), F.count("*").alias("c")).where("c > 1")
+    copies = cut(copies, "copies")
+    limit = max(HOT_LEAST, signed.count() // HOT_PARTS)
+    hot = copies.where(F.col("c") > limit).select(*same, F.col("node").alias("hot"))  # at most HOT_PARTS rows
+    some = copies.where(F.col("c") <= limit).select(*same, "node")
+    marked = alive.join(F.broadcast(hot), same, "left")
+    few = marked.where("hot is null").join(some, same, "left").withColumn("node", F.coalesce("node", "doc_id"))
+    many = marked.where("hot is not null").withColumn("node", F.col("hot"))
+    mine = lambda c: F.when(F.col("doc_id") == F.col("node"), F.col(c)).alias(c)
+    tied = cut(few.unionByName(many).select("doc_id", "n", "node", mine("bands"), mine("short")), "tied")
     own = tied.where("doc_id = node")
     banded = own.select("node", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     members = cut(banded.join(shared, "key").join(own.select("node", "n", "short"), "node"), "members")
 
     likely = percent / 100 - 0.03
-    first = confirm(docs, _pairs(_groups(members.select("key", "node", "c", "short"), True), lambda t, lo, hi: _leaders(t, likely)), words, percent)
+    first = confirm(docs, _pairs(_groups(members.select("key", "node", "c", "short"), True), lambda t, lo, hi: _leaders(t, likely)), words, percent, lower)
     comp = cut(components(first).withColumnRenamed("component", "comp"), "comp")
     placed = members.select("key", "node", "c").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
     still = cut(placed.join(open_keys, "key", "left_semi"), "open")
-    sets = cut(shingle_sets(docs, still.select("node").distinct(), words), "sets")
-    second = _pairs(_groups(still.join(sets, "node"), False), lambda t, lo, hi: _joins(t, percent, lo, hi))
+    signs = own.select("node", "n", "short")
+    chosen = cut(_candidates(_groups(still.join(signs, "node"), False), percent), "chosen")
+    counts = chosen.groupBy("key").agg(F.count("*").alias("c"))
+    still = chosen.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(counts, "key")
+    sets = cut(shingle_sets(docs, still.select("node").distinct(), words, lower), "sets")
+    second = _pairs(_groups(still.select("key", "node", "c", "comp").join(sets, "node"), False), lambda t, lo, hi: _joins(t, percent, lo, hi))
     # what the first round joined stays joined: its stars go into the last graph
     comp = cut(components(second.unionByName(comp.select(F.col("node").alias("u"), F.col("comp").alias("v")))).withColumnRenamed("component", "comp"), "comp")
-    discard(sets)
-    discard(members)
+    for done in (sets, members, copies, chosen):
+        discard(done)
 
     ends = tied.select("doc_id", "n", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     linked = ends.select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))

@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm.wordbpe import WordBpe, tokenizer_path
-from tessera.session import arrow_rows, ship
+from tessera.llm.words import slices
+from tessera.session import ship
 
 WINDOWS = (4096, 2048, 1024, 512, 256)
 END_ID = 2
@@ -123,7 +124,6 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = END_ID, windows
     the piece's ids (little-endian uint16)."""
     path = path or tokenizer_path()
     ship(docs.sparkSession)
-    arrow_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -161,10 +161,9 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = END_ID, windows
             for d in [d for d in ids if d not in kept]:
                 del ids[d], keys[d]
 
-        for b in batches:
+        for b in slices(batches):
             kind[0] = b.column("doc_id").type
-            for key, text in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                one = np.frombuffer(bpe.encode(text) + int(end_id).to_bytes(2, "little"), "<u2")
+            for key, one in zip(b.column("doc_id").to_pylist(), bpe.encode(b.column("text"), end_id), strict=True):
                 ids[number], keys[number] = one, key
                 packer.add(number, len(one))
                 number, held = number + 1, held + len(one)

@@ -51,8 +51,13 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def fingerprint_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other half of op10: documents joined by bands of their fingerprints."""
+    return fingerprints.near_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)} | {"fingerprint_groups": fingerprint_groups}
 
 
 OP8_SQL = """WITH v AS (

@@ -8,27 +8,22 @@ text has fewer; no words give an empty set.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_HASHES: dict[bytes, int] = {}
-_MOST = 500_000
+from tessera.llm.words import split
+
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
-def word_hashes(text: bytes | None, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of each word of a UTF-8 text."""
+def word_hashes(column: pa.Array, lower: bool = True) -> list[np.ndarray]:
+    """A 64-bit hash of each word of each text of a column."""
     import xxhash
 
-    words = ((text or b"").translate(_LOWER) if lower else text or b"").split()
-    new = set(words).difference(_HASHES)
-    if new:
-        if len(_HASHES) + len(new) > _MOST:
-            _HASHES.clear()
-            new = set(words)
-        for w in new:
-            _HASHES[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    numbers, ends, words = split(column, _LOWER if lower else None)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))[numbers]
+    return [hashes[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,12 +32,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_hashes(text: bytes | None, words: int, lower: bool = True) -> np.ndarray:
-    """Hashes of all shingles of a text, repeats included."""
-    w = word_hashes(text, lower)
+def shingles_of(w: np.ndarray, words: int) -> np.ndarray:
+    """Hashes of all shingles of a text's word hashes, repeats included."""
     if not len(w):
         return w
-    size = min(words, len(w)) if len(w) >= words else len(w)
+    size = min(words, len(w))
     n = len(w) - size + 1
     total, factor = np.full(n, size if size < words else 0, np.uint64), 1
     for k in range(size):
@@ -51,6 +45,11 @@ def shingle_hashes(text: bytes | None, words: int, lower: bool = True) -> np.nda
     return mix(total)
 
 
+def shingle_sets(column: pa.Array, words: int, lower: bool = True) -> list[np.ndarray]:
+    """The distinct shingles of each text of a column, ascending."""
+    return [np.unique(shingles_of(w, words)) for w in word_hashes(column, lower)]
+
+
 class MinMax:
     """Smallest and largest value under each of `count` permutations of the
     64-bit numbers: twice as many signature values as hash evaluations."""

@@ -15,66 +15,79 @@ null or repeated, each row gets its own result; other columns are ignored.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.session import arrow_rows, ship
+from tessera.llm.words import Held, numbered, raw, slices, strings
+from tessera.session import ship
 
 DEFAULT_FILE = "piece_bpe_32k.model"
 LIMIT = 4096
 MARK = "▁".encode()
-_UNITS = re.compile(b"(?:\xe2\x96\x81)*(?:(?!\xe2\x96\x81)[\\s\\S])+|(?:\xe2\x96\x81)+")
 _INSTANCES: dict[str, PieceCounter] = {}
 
 
 class PieceCounter:
     """Counts of a sentencepiece model's pieces, by distinct pre-token."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 64 << 20):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         names = (self.library.id_to_piece(i) for i in range(self.library.get_piece_size()))
         if any("▁" in n.lstrip("▁") for n in names) or self.library.encode(" x y", out_type=str)[0][0] != "▁":
             raise ValueError("this model's pieces cross spaces; its pre-tokens can't be counted apart")
-        self.most, self.counts = most, {}
+        self.counts = Held(most)
         self.single = len(self.library.encode("a ")) - len(self.library.encode("a"))
 
     @classmethod
     def of(cls, path: str) -> PieceCounter:
         if path not in _INSTANCES:
             _INSTANCES[path] = cls(path)
+        _INSTANCES[path].counts.claim()
         return _INSTANCES[path]
 
-    @staticmethod
-    def pretokens(text: bytes) -> list[bytes]:
-        """Pre-tokens, each without the mark that every one begins with."""
-        if not text:
-            return []
-        if b"  " not in text and MARK not in text and text[:1] != b" " and text[-1:] != b" ":
-            return text.split(b" ")
-        marked = MARK + text.replace(b" ", MARK)
-        return [u[3:] for u in _UNITS.findall(marked)]
-
-    def _learn(self, listed: list[bytes]) -> None:
-        texts = [u.decode("utf-8", "replace").replace("▁", " ") if u.startswith((b" ", MARK)) else u.decode("utf-8", "replace") for u in listed]
-        for u, ids in zip(listed, self.library.encode(texts, num_threads=1), strict=True):
-            self.counts[u] = len(ids) if u else self.single
-
-    def count(self, text: bytes | None) -> int:
-        freq = Counter(self.pretokens(text or b""))
-        new = [u for u in freq if u not in self.counts]
-        if new:
-            if len(self.counts) + len(new) > self.most:
-                self.counts.clear()
-                new = list(freq)
-            self._learn(new)
-        known = self.counts
-        return sum(known[u] * n for u, n in freq.items())
+    def pieces(self, pretokens: list[bytes]) -> np.ndarray:
+        """The number of pieces of each pre-token."""
+        out = list(map(self.counts.get, pretokens))
+        new = [k for k, n in enumerate(out) if n is None]
+        texts = [pretokens[k].decode("utf-8", "replace").replace("▁", " ") for k in new]
+        for k, ids in zip(new, self.library.encode(texts, num_threads=1) if new else [], strict=True):
+            out[k] = len(ids) if pretokens[k] else self.single
+            self.counts.keep(pretokens[k], out[k])
+        return np.array(out, np.int64)
+
+    def count(self, column: pa.Array) -> np.ndarray:
+        """The number of tokens of each text of a column."""
+        items, at = pretokens(column)
+        numbers, distinct = numbered(items)
+        total = np.concatenate([[0], np.cumsum(self.pieces(distinct)[numbers])]) if len(distinct) else np.zeros(1, np.int64)
+        return np.diff(total[at])
+
+
+def pretokens(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(pre-tokens of all texts, each without the mark that it begins with;
+    offsets of texts among them)."""
+    data, offsets = raw(column)
+    if len(data) > 2 and MARK in data.tobytes():  # marks inside a text act as spaces
+        texts = [bytes(data[a:b]).replace(MARK, b" ") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        data, offsets = raw(pa.array(texts, pa.binary()))
+    n = len(data)
+    first = np.zeros(n + 1, bool)
+    first[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+    first = first[:n]
+    space = data == 32
+    begins = space.copy()  # the first space of a run begins a pre-token and is its mark; a text's start has a mark of its own
+    begins[1:] &= ~space[:-1] | first[1:]
+    begins[first] = False
+    kept = ~begins
+    start = np.flatnonzero(begins | first)
+    at = np.concatenate([[0], np.cumsum(kept)])
+    counted = np.concatenate([[0], np.cumsum(begins | first)])
+    return strings(data[kept], np.concatenate([at[start], at[-1:]])), counted[offsets]
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
@@ -83,17 +96,15 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
 
     path = path or public_tokenizers.path(DEFAULT_FILE)
     ship(docs.sparkSession)
-    arrow_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tessera.llm.token_counts import PieceCounter
 
         counter = PieceCounter.of(path)
-        for b in batches:
-            texts = b.column("text").cast(pa.binary()).to_pylist()
-            n = [counter.count(t) for t in texts]
+        for b in slices(batches):
+            n = counter.count(b.column("text"))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
+                [b.column("doc_id"), pa.array(np.diff(raw(b.column("text"))[1])), pa.array(n), pa.array(n > limit)],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 

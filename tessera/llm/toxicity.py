@@ -23,41 +23,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.language_id import fold
-from tessera.session import arrow_rows, ship
+from tessera.llm.words import numbered, slices, split
+from tessera.session import ship
 
 TOXIC_ROWS, CLEAN_ROWS = 3000, 6000
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 18, 8, 8, (1, 2, 3)
 EPOCHS, BATCH, RATE, CUT = 5, 64, 0.05, 0.7
 #: ASCII bytes that aren't letters end a word.
-_TO_SPACE = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
-_WORDS: dict[bytes, tuple[int, int, int]] = {}
-_WORDS_MOST = 400_000
+_TO_SPACE = np.array([b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256)], np.uint8)
 _SEGMENT = 1 << 16
 
 
-def _buckets(word: bytes) -> tuple[int, int, int]:
+def words_of(column: pa.Array) -> list[np.ndarray]:
+    """For each text of a column, three bucket numbers for each of its words."""
     import xxhash
 
-    h = xxhash.xxh3_64_intdigest(word)
-    start = word.decode("utf-8", "ignore")[:4].encode()
-    return h % BUCKETS, (h >> 32) % BUCKETS, xxhash.xxh3_64_intdigest(start, 7) % BUCKETS
-
-
-def words_of(text: str | None) -> np.ndarray:
-    """Three bucket numbers for each word of a text."""
-    words = (text or "").lower().encode("utf-8", "replace").translate(_TO_SPACE).split()
-    new = set(words).difference(_WORDS)
-    if new:
-        if len(_WORDS) + len(new) > _WORDS_MOST:
-            _WORDS.clear()
-            new = set(words)
-        for w in new:
-            _WORDS[w] = _buckets(w)
-    return np.array(list(map(_WORDS.__getitem__, words)), np.int32).reshape(-1, 3)
+    texts = pa.array([(t or "").lower().encode("utf-8", "replace") for t in column.to_pylist()], pa.binary())
+    numbers, ends, words = split(texts, _TO_SPACE)
+    whole = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    starts = pc.utf8_slice_codeunits(pa.array(words, pa.binary()).cast(pa.string()), 0, 4)
+    at, heads = numbered(starts)
+    first = np.fromiter((xxhash.xxh3_64_intdigest(h, 7) % BUCKETS for h in heads), np.int32, len(heads))
+    three = np.stack([whole % np.uint64(BUCKETS), (whole >> np.uint64(32)) % np.uint64(BUCKETS), first[at]], 1).astype(np.int32) if words else np.zeros((0, 3), np.int32)
+    rows = three[numbers]
+    return [rows[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 class Net:
@@ -111,8 +105,7 @@ class Net:
             return 0
         return int(self.words_by_language[word[:, 0]].sum(0).argmax())
 
-    def score(self, text: str | None) -> float:
-        word = words_of(text)
+    def score(self, word: np.ndarray) -> float:
         p, cut = self.probability(word), self.cuts[self.language(word)]
         return min(1.0, CUT * p / cut if p < cut else CUT + (1 - CUT) * (p - cut) / max(1 - cut, 1e-9))
 
@@ -209,16 +202,13 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_
     """Train on a bounded sample of labels(doc_id, toxic), joined to
     docs(doc_id, text, lang); None if one of the labels is missing."""
     ship(docs.sparkSession)
-    arrow_rows(docs.sparkSession)
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     key = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = known.where("toxic = 1").orderBy(*key).limit(toxic_rows).unionByName(known.where("toxic = 0").orderBy(*key).limit(clean_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tessera.llm.toxicity import words_of
-
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), b.column("lang"), pa.array([words_of(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())], names=["doc_id", "toxic", "lang", "words"])
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), b.column("lang"), pa.array([w.tobytes() for w in words_of(b.column("text"))], pa.binary())], names=["doc_id", "toxic", "lang", "words"])
 
     # the sample's bound makes it safe to broadcast
     joined = docs.select("doc_id", "text", "lang").join(F.broadcast(sample.select("doc_id", F.col("toxic").cast("int"))), "doc_id")
@@ -242,11 +232,10 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_
 def score(docs: DataFrame, net: Net | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """tox_score and tox_pred for every row of docs, beside the kept columns."""
     ship(docs.sparkSession)
-    arrow_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = [net.score(t) if net else 0.0 for t in b.column("text").to_pylist()]
+        for b in slices(batches):
+            s = [net.score(w) for w in words_of(b.column("text"))] if net else [0.0] * b.num_rows
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(s, pa.float64()), pa.array([int(x >= CUT) for x in s], pa.int32())], names=[*keep, "tox_score", "tox_pred"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)

@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.vocab import indexed
+from tessera.operators.vocab import indexed, is_small, settled
 
 GROUP_DOCS = 4096
 
 
 def document_counts(toks: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(doc_id, idx, n) of tokens(doc_id, tok): types of OOV add up. Counting
-    by token comes first, so the join meets one row per document and type."""
+    """(doc_id, idx, n) of tokens(doc_id, tok): types of OOV add up. With a
+    small vocabulary tokens get their index where they are read, and one
+    shuffle of partial counts is left; with a large one they are counted by
+    token first, so that the join meets one row per document and type."""
+    vocab = settled(vocab)
+    if is_small(vocab):
+        return indexed(toks.select("doc_id", "tok"), vocab).groupBy("doc_id", "idx").agg(F.count("*").alias("n"))
     raw = toks.groupBy("doc_id", "tok").agg(F.count("*").alias("c"))
     return indexed(raw, vocab).groupBy("doc_id", "idx").agg(F.sum("c").alias("n"))
 
@@ -101,36 +106,47 @@ def column_pairs(dtm: DataFrame, types: int | None = None) -> DataFrame:
 def _following(arrays: DataFrame, need: int) -> DataFrame:
     """(doc_id, tail, following): the last `need` tokens of each document and
     the `need` tokens after it in corpus order. Documents are grouped by range
-    of doc_id; inside a group a window sees few short rows, between groups
-    only their first tokens travel."""
-    bounds = arrays.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"))
+    of doc_id; inside a group a window sees few short rows, and between groups
+    the same is done again with the groups' first tokens, until one is left."""
+    lo, hi, n = arrays.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     ends = arrays.select("doc_id", F.slice("toks", 1, need).alias("head"), F.slice("toks", F.greatest(F.size("toks") - need + 1, F.lit(1)), need).alias("tail")).where(F.size("head") > 0)
-    width = F.greatest(F.lit(1.0), F.ceil((F.col("hi") - F.col("lo") + 1) / F.greatest(F.lit(1), F.ceil(F.col("n") / GROUP_DOCS))))
-    ends = ends.crossJoin(F.broadcast(bounds)).withColumn("grp", F.floor((F.col("doc_id") - F.col("lo")) / width).cast("long")).drop("lo", "hi", "n")
+    groups = max(1, -(-n // GROUP_DOCS))
+    width = max(1, -(-((hi or 0) - (lo or 0) + 1) // groups))
+    ends = ends.withColumn("grp", F.floor((F.col("doc_id") - F.lit(lo or 0)) / F.lit(width)).cast("long"))
     inside = Window.partitionBy("grp").orderBy("doc_id").rowsBetween(1, need)
     own = ends.withColumn("after", F.slice(F.flatten(F.collect_list("head").over(inside)), 1, need))
+    if groups == 1:
+        return own.select("doc_id", "tail", F.col("after").alias("following"))
     first = ends.withColumn("r", F.row_number().over(Window.partitionBy("grp").orderBy("doc_id"))).where(F.col("r") <= need)
     first = first.groupBy("grp").agg(F.slice(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("r", "head"))), lambda s: s["head"])), 1, need).alias("start"))
-    between = Window.orderBy("grp").rowsBetween(1, need)
-    later = first.select("grp", F.slice(F.flatten(F.collect_list("start").over(between)), 1, need).alias("later"))
+    later = _following(cut(first.select(F.col("grp").alias("doc_id"), F.col("start").alias("toks")), "starts"), need)
+    later = later.select(F.col("doc_id").alias("grp"), F.col("following").alias("later"))
     return own.join(later, "grp").select("doc_id", "tail", F.slice(F.concat("after", "later"), 1, need).alias("following"))
 
 
-def raw_pairs(arrays: DataFrame, skip: int = 0) -> DataFrame:
-    """(left, right, c): counts of tokens and the (skip+1)-th after them, over
-    documents in the order of doc_id."""
+def each_pair(arrays: DataFrame, skip: int = 0) -> DataFrame:
+    """(left, right) of every token and the (skip+1)-th after it, over documents
+    in the order of doc_id."""
     need = skip + 1
     inside = arrays.where(F.size("toks") > need).select(F.explode(F.arrays_zip(F.slice("toks", 1, F.size("toks") - need).alias("left"), F.slice("toks", need + 1, F.size("toks") - need).alias("right"))).alias("p"))
     t = F.size("tail")
     ends = _following(arrays, need)
     reach = F.slice("following", need - t + 1, t)
     across = ends.select(F.explode(F.arrays_zip(F.slice("tail", 1, F.size(reach)).alias("left"), reach.alias("right"))).alias("p"))
-    both = inside.select("p.left", "p.right").unionByName(across.select("p.left", "p.right"))
-    return both.groupBy("left", "right").agg(F.count("*").alias("c"))
+    return inside.select("p.left", "p.right").unionByName(across.select("p.left", "p.right"))
+
+
+def raw_pairs(arrays: DataFrame, skip: int = 0) -> DataFrame:
+    """(left, right, c): counts of each_pair."""
+    return each_pair(arrays, skip).groupBy("left", "right").agg(F.count("*").alias("c"))
 
 
 def bigram_counts(arrays: DataFrame, vocab: DataFrame, skip: int = 0) -> DataFrame:
-    """(i, j, n) over type indices."""
+    """(i, j, n) over type indices. With a small vocabulary pairs of indices are
+    counted at once; with a large one pairs of tokens are counted first."""
+    vocab = settled(vocab)
+    if is_small(vocab):
+        return indexed(indexed(each_pair(arrays, skip), vocab, "left", "i"), vocab, "right", "j").groupBy("i", "j").agg(F.count("*").alias("n"))
     rows = indexed(indexed(raw_pairs(arrays, skip), vocab, "left", "i"), vocab, "right", "j")
     return rows.groupBy("i", "j").agg(F.sum("c").alias("n"))
 
@@ -164,8 +180,10 @@ def margins(cells: DataFrame) -> DataFrame:
 def scale_bigrams(cells: DataFrame, vocab: DataFrame, how: str) -> DataFrame:
     """(i, j, v): by type frequencies. r, c, b: 1/sqrt on rows, columns, both;
     left, right: 1/freq on rows or columns; w: raw."""
-    fi = vocab.select(F.col("idx").alias("i"), F.col("freq").cast("double").alias("fi"))
-    fj = vocab.select(F.col("idx").alias("j"), F.col("freq").cast("double").alias("fj"))
+    vocab = settled(vocab)
+    side = F.broadcast if is_small(vocab) else lambda d: d
+    fi = side(vocab.select(F.col("idx").alias("i"), F.col("freq").cast("double").alias("fi")))
+    fj = side(vocab.select(F.col("idx").alias("j"), F.col("freq").cast("double").alias("fj")))
     n = F.col("n").cast("double")
     value = {"w": n, "r": n / F.sqrt("fi"), "c": n / F.sqrt("fj"), "b": n / F.sqrt(F.col("fi") * F.col("fj")), "left": n / F.col("fi"), "right": n / F.col("fj")}
     if how not in value:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import cut
+
 
 def confusion(rows: DataFrame) -> DataFrame:
     """(truth, est, n) over all pairs of the labels of either side."""
@@ -69,9 +71,31 @@ def moments(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.agg(F.array(*one).alias("a")).select(F.inline("a"))
 
 
+def running_totals(rows: DataFrame, key: str, n: str, parts: int = 256) -> DataFrame:
+    """rows (one for each key) with `before`, the sum of n over smaller keys, and
+    `total`. Keys are cut into about `parts` ranges at approximate quantiles:
+    totals of ranges are summed in one small window, keys inside their range."""
+    bounds = rows.approxQuantile(key, [k / parts for k in range(1, parts)], 0.5 / parts)
+    at = F.lit(0) if not bounds else F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]), lambda b: b < F.col(key)))
+    placed = rows.withColumn("_r", at)
+    ranges = placed.groupBy("_r").agg(F.sum(n).alias("_n"))  # at most `parts` rows
+    order = Window.orderBy("_r")
+    ranges = ranges.select("_r", (F.sum("_n").over(order) - F.col("_n")).alias("_b"), F.sum("_n").over(Window.partitionBy()).alias("total"))
+    inside = Window.partitionBy("_r").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    return placed.withColumn("_i", F.sum(n).over(inside) - F.col(n)).join(F.broadcast(ranges), "_r").withColumn("before", F.col("_b") + F.col("_i")).drop("_r", "_b", "_i")
+
+
 def five_numbers(rows: DataFrame, column: str) -> DataFrame:
-    """One row: minimum, quartiles and maximum, exact."""
-    return rows.agg(*[F.percentile(column, F.lit(q)).alias(n) for n, q in (("low", 0.0), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("high", 1.0))])
+    """One row: minimum, quartiles and maximum, exact (linear between ranks), by
+    running totals of the counts of distinct values."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    placed = running_totals(cut(counts, "values"), "v", "n")
+    wanted = (("low", 0.0), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("high", 1.0))
+    # rank r (from 0) is held by the value with before <= r < before + n
+    held = lambda r: F.max(F.when((F.col("before") <= r) & (r < F.col("before") + F.col("n")), F.col("v")))
+    at = lambda q: (F.col("total") - 1) * F.lit(q)
+    sides = placed.agg(F.max("total").alias("total"), *[held(f(at(q))).alias(f"{m}_{side}") for m, q in wanted for side, f in (("a", F.floor), ("b", F.ceil))])
+    return sides.select(*[(F.col(f"{m}_a") + (F.col(f"{m}_b") - F.col(f"{m}_a")) * (at(q) - F.floor(at(q)))).alias(m) for m, q in wanted])
 
 
 def histogram(rows: DataFrame, column: str, low: float, width: float) -> DataFrame:

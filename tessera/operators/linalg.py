@@ -11,12 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import arrow_rows, cut, ship
+from tessera.session import cut, ship
 
 PAIR_CELLS = 1 << 16  # numbers of Omega in a block of pairs
+NARROW = 64  # columns up to which sums by key are expressions
+BROADCAST_NUMBERS, HOT_PARTS = 1 << 22, 4096  # 32 MB of numbers
 WIDE = 512  # columns over which a Gram matrix travels by rows
 
 
@@ -53,16 +55,51 @@ def random_image(cells: DataFrame, k: int, seed: int) -> DataFrame:
 
 
 def add_rows(parts: DataFrame, k: int, key: str = "i") -> DataFrame:
-    """Sum arrays of k numbers by key."""
-    return parts.groupBy(key).agg(*[F.sum(F.col("x")[d]).alias(f"x{d}") for d in range(k)]).select(key, F.array(*[F.col(f"x{d}") for d in range(k)]).alias("x"))
+    """Sum arrays of k numbers by key; wide ones in Arrow, where k sums as
+    expressions would be too much generated code."""
+    if k <= NARROW:
+        return parts.groupBy(key).agg(*[F.sum(F.col("x")[d]).alias(f"x{d}") for d in range(k)]).select(key, F.array(*[F.col(f"x{d}") for d in range(k)]).alias("x"))
+
+    def add(group: pa.Table) -> pa.Table:
+        total = group.column("x").combine_chunks().flatten().to_numpy().reshape(-1, k).sum(0)
+        return pa.table({key: group.column(key).slice(0, 1), "x": pa.array([total], pa.list_(pa.float64()))})
+
+    return parts.select(key, "x").groupBy(key).applyInArrow(add, f"`{key}` {dict(parts.dtypes)[key]}, x array<double>")
 
 
 def times_rows(cells: DataFrame, rows: DataFrame, k: int, left: str = "i", inner: str = "j") -> DataFrame:
     """(i, x): B P of triplets (i, j, v) and rows (i, x) of P keyed by B's inner
-    index; the join is on that index, the sums on the outer."""
+    index. P is broadcast if it has at most BROADCAST_NUMBERS numbers; else
+    inner indices with over 1 / HOT_PARTS of the cells (at most HOT_PARTS of
+    them) are, so that no key of the join that is left is hot. Products are
+    added up by outer index inside each batch before they travel."""
+    ship(cells.sparkSession)
+    rows = rows if hasattr(rows, "_tessera_path") else cut(rows, "rows")
     p = rows.select(F.col("i").alias("_k"), "x")
-    prod = cells.join(p, F.col(inner) == F.col("_k")).select(F.col(left).alias("i"), "v", "x")
-    return prod.groupBy("i").agg(*[F.sum(F.col("v") * F.col("x")[d]).alias(f"x{d}") for d in range(k)]).select("i", F.array(*[F.col(f"x{d}") for d in range(k)]).alias("x"))
+    if rows.count() * k <= BROADCAST_NUMBERS:
+        prod = cells.join(F.broadcast(p), F.col(inner) == F.col("_k"))
+    else:
+        per = cells.groupBy(F.col(inner).alias("_j")).agg(F.count("*").alias("_c"))
+        per = cut(per, "inner")
+        limit = per.agg(F.sum("_c")).first()[0] / HOT_PARTS
+        hot = cut(per.where(F.col("_c") > limit).select("_j"), "hot")
+        lead = p.join(F.broadcast(hot), F.col("_k") == F.col("_j"), "left_semi")
+        many = cells.join(F.broadcast(hot), F.col(inner) == F.col("_j"), "left_semi").join(F.broadcast(lead), F.col(inner) == F.col("_k"))
+        few = cells.join(F.broadcast(hot), F.col(inner) == F.col("_j"), "left_anti").join(p, F.col(inner) == F.col("_k"))
+        prod = many.select(left, "v", "x").unionByName(few.select(left, "v", "x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                u, back = np.unique(b.column("i").to_numpy(zero_copy_only=False), return_inverse=True)
+                x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, k) * b.column("v").to_numpy(zero_copy_only=False)[:, None]
+                order = np.argsort(back, kind="stable")
+                total = np.add.reduceat(x[order], np.searchsorted(back[order], np.arange(len(u))), axis=0)
+                ends = pa.array(np.arange(len(u) + 1, dtype=np.int32) * k)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.ListArray.from_arrays(ends, pa.array(total.reshape(-1)))], names=["i", "x"])
+
+    parts = prod.select(F.col(left).cast("long").alias("i"), F.col("v").cast("double").alias("v"), F.col("x").cast("array<double>").alias("x")).mapInArrow(run, "i long, x array<double>")
+    return add_rows(parts, k)
 
 
 def gram(rows: DataFrame, k: int, column: str = "x") -> np.ndarray:
@@ -88,7 +125,6 @@ def gram(rows: DataFrame, k: int, column: str = "x") -> np.ndarray:
 
 
 def _wide_gram(rows: DataFrame, k: int, column: str) -> np.ndarray:
-    arrow_rows(rows.sparkSession)
     doubles = pa.list_(pa.float64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +154,6 @@ def _wide_gram(rows: DataFrame, k: int, column: str) -> np.ndarray:
 def dense_rows(cells: DataFrame, k: int) -> DataFrame:
     """(i, x): rows of k numbers of (i, j, v), zero where there is no cell."""
     ship(cells.sparkSession)
-    arrow_rows(cells.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -299,7 +334,6 @@ def quadratic_image(cells: DataFrame, k: int, seed: int) -> DataFrame:
     of the cells (i, j, v) of each row. A pair's Omega row is hashed from j and
     k where it is used; a row's pairs are made in blocks and never leave it."""
     ship(cells.sparkSession)
-    arrow_rows(cells.sparkSession)
     size = max(256, PAIR_CELLS // k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,6 +366,32 @@ def quadratic_range(cells: DataFrame, k: int, power: int = 0, seed: int = 77777)
     return orthonormal(y, k)[0]
 
 
+def top_loadings(rows: DataFrame, k: int, columns: list[int], top: int = 20, key: str = "i") -> DataFrame:
+    """(component, place, key, v): the rows of largest |v| of each of the given
+    columns of rows (key, x); component -1: largest sum of squares over them."""
+    values = F.array(*[F.struct(F.lit(c).alias("component"), F.col("x")[c].alias("v")) for c in columns], F.struct(F.lit(-1).alias("component"), F.aggregate(F.array(*[F.col("x")[c] * F.col("x")[c] for c in columns]), F.lit(0.0), lambda s, v: s + v).alias("v")))
+    long = rows.select(key, F.explode(values).alias("s")).select("s.component", key, "s.v")
+    place = F.row_number().over(Window.partitionBy("component").orderBy(F.desc(F.abs("v")), key))
+    return long.withColumn("place", place).where(F.col("place") <= top)
+
+
+def subspace_agreement(rows: DataFrame, a: str, b: str, p: int, q: int, least: float = 0.9) -> dict:
+    """How far two sets of directions span the same space: the number and share
+    of canonical correlations of at least `least`."""
+    r, _, _ = canonical_correlations(rows, a, b, p, q, center=False)
+    high = int((r >= least).sum())
+    return {"directions": len(r), "high": high, "share": high / max(len(r), 1)}
+
+
+def centred_comparison(rows: DataFrame, k: int, n_columns: int) -> list[dict]:
+    """Singular values of rows (x) as they are and with column means taken off,
+    side by side, from one Gram matrix."""
+    g = gram(rows.select(F.concat(F.array(F.lit(1.0)), F.col("x").cast("array<double>")).alias("x")), n_columns + 1)
+    n, total = g[0, 0], g[0, 1:]
+    plain, centred = (np.sort(np.sqrt(np.maximum(np.linalg.eigvalsh(m), 0)))[::-1] for m in (g[1:, 1:], g[1:, 1:] - np.outer(total, total) / max(n, 1)))
+    return [{"place": c + 1, "plain": float(plain[c]), "centred": float(centred[c])} for c in range(min(k, n_columns))]
+
+
 def column_squares(rows: DataFrame, k: int) -> list[float]:
     """Sums of squares of each component."""
     return [float(x or 0) for x in rows.agg(*[F.sum(F.col("x")[d] * F.col("x")[d]) for d in range(k)]).first()]

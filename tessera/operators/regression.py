@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.distributions import f_above, normal_quantile, t_quantile, t_two_sided
+from tessera.operators.evaluate import running_totals
 from tessera.operators.linalg import gram
 from tessera.session import ship
 
@@ -127,7 +129,7 @@ def solve(g: np.ndarray, columns: list[int]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ols(rows: DataFrame, names: list[str], y: str = "y", x: str = "x") -> list[dict]:
-    """Coefficients with standard errors, t and normal p values; the first row
+    """Coefficients with standard errors, t and its p values; the first row
     is the constant and carries the model's measures."""
     g = design_gram(rows, len(names), y, x)
     beta, inverse = solve(g, list(range(len(names))))
@@ -140,7 +142,7 @@ def ols(rows: DataFrame, names: list[str], y: str = "y", x: str = "x") -> list[d
     out = []
     for name, b, s in zip(["(constant)", *names], beta, se, strict=True):
         t = float(b / s) if s > 0 else float("nan")
-        out.append({"name": name, "coefficient": float(b), "se": float(s), "t": t, "p": 2 * (1 - NormalDist().cdf(abs(t))) if t == t else float("nan")})
+        out.append({"name": name, "coefficient": float(b), "se": float(s), "t": t, "p": t_two_sided(t, n - q)})
     out[0] |= {"n": n, "r2": r2, "adj_r2": adj, "rss": rss, "aicc": aicc, "sigma": math.sqrt(rss / max(n - q, 1))}
     return out
 
@@ -150,9 +152,109 @@ def predictive_r2(rss: float, tss: float, n: int, k: int) -> tuple[float, float,
     return 1 - rss / tss, 1 - (rss / (n - k)) / (tss / (n - 1)), 1 - (rss / (n - 2 * k)) / (tss / (n - 1))
 
 
-def nested_f(rss_small: float, rss_large: float, df_small: int, df_large: int) -> float:
-    """F of the terms that the larger model adds."""
-    return ((rss_small - rss_large) / (df_small - df_large)) / (rss_large / df_large)
+def nested_f(rss_small: float, rss_large: float, df_small: int, df_large: int) -> tuple[float, float]:
+    """F of the terms that the larger model adds, and P(F or more)."""
+    f = ((rss_small - rss_large) / (df_small - df_large)) / (rss_large / df_large)
+    return f, f_above(f, df_small - df_large, df_large)
+
+
+def best_step(steps: list, by: str = "aicc") -> dict:
+    """The first model of a sequence with the smallest measure, and its place."""
+    value = lambda s: s[by] if isinstance(s, dict) else getattr(s, by)
+    at = min((k for k in range(len(steps)) if value(steps[k]) == value(steps[k])), key=lambda k: value(steps[k]))
+    one = steps[at]
+    return {"place": at + 1, "name": one["name"] if isinstance(one, dict) else one.name, by: float(value(one))}
+
+
+def increments(steps: list, by: str = "r2") -> list[dict]:
+    """What each model of a sequence adds to a measure, and the sum so far."""
+    value = lambda s: s[by] if isinstance(s, dict) else getattr(s, by)
+    values = [float(value(s)) for s in steps]
+    return [{"place": k + 1, "step": v - (values[k - 1] if k else 0.0), "upto": v} for k, v in enumerate(values)]
+
+
+def largest_t(model: list[dict], k: int = 15) -> list[dict]:
+    """The k coefficients of a model (as of ols) with the largest |t|, the
+    constant aside; ties by name."""
+    rows = [r for r in model if r["name"] != "(constant)" and r["t"] == r["t"]]
+    return sorted(rows, key=lambda r: (-abs(r["t"]), r["name"]))[:k]
+
+
+def group_columns(rows: DataFrame, column: str, levels: int = 1000, x: str = "x") -> tuple[DataFrame, list[str]]:
+    """rows with indicators of a factor's levels after x (the most frequent
+    level is the base; over `levels` of them is an error), and their names.
+    Null is a level of its own."""
+    own = F.coalesce(F.col(column).cast("string"), F.lit("(null)"))
+    found = [r["v"] for r in rows.groupBy(own.alias("v")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "v").limit(levels + 1).collect()]
+    if len(found) > levels:
+        raise ValueError(f"{column} has more than {levels} levels")
+    marks = [F.when(own == v, 1.0).otherwise(0.0) for v in found[1:]]
+    base = F.col(x).cast("array<double>")
+    return rows.withColumn(x, F.concat(base, F.array(*marks)) if marks else base), [f"{column}={v}" for v in found[1:]]
+
+
+def trimmed_mse(rows: DataFrame, n_columns: int, folds: int = 10, limit: float = 3.0, seed: int = 1, key: str = "doc_id", y: str = "y", x: str = "x") -> list[dict]:
+    """Mean squared error of each held-out fold, where training leaves out rows
+    whose residual from a first fit is over `limit` standard errors; the rows
+    held out all count."""
+    parts = fold_grams(rows, n_columns, folds, seed, key, y, x)
+    total, at, out = parts.sum(0), [0, *range(2, n_columns + 2)], []
+    fold = F.pmod(F.col(key), F.lit(folds)) if seed == 0 else F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(folds))
+    good = rows.where(F.col(y).isNotNull() & F.col(x).isNotNull())
+    for f, part in enumerate(parts):
+        g = total - part
+        beta, _ = solve(g, list(range(n_columns)))
+        sigma = math.sqrt(max(g[1, 1] - beta @ g[at, 1], 0.0) / max(g[0, 0] - len(at), 1))
+        near = fitted(good.where(fold != f), beta.tolist(), "_fit", x).where(F.abs(F.col(y) - F.col("_fit")) <= limit * sigma)
+        own = design_gram(near, n_columns, y, x)
+        beta, _ = solve(own, list(range(n_columns)))
+        ss = part[1, 1] - 2 * beta @ part[at, 1] + beta @ part[np.ix_(at, at)] @ beta
+        out.append({"fold": f, "n": float(part[0, 0]), "trained": float(own[0, 0]), "mse": float(ss / part[0, 0]) if part[0, 0] else float("nan")})
+    return out
+
+
+def indicator_ols(rows: DataFrame, columns: list[str], y: str = "y") -> list[dict]:
+    """Least squares of y on columns whose missing (not positive) values are
+    replaced by their mean, each beside an indicator of being there."""
+    from tessera.operators.evaluate import mean_imputed
+
+    for c in columns:
+        rows = mean_imputed(rows, c)
+    names = [n for c in columns for n in (c, f"{c}_seen")]
+    return ols(rows.withColumn("_x", F.array(*[F.col(n).cast("double") for n in names])), names, y, "_x")
+
+
+def poisson(rows: DataFrame, names: list[str], y: str = "y", x: str = "x", rounds: int = 50, least: float = 1e-10) -> list[dict]:
+    """Poisson regression with log link by iterated weighted least squares: one
+    pass over the rows each round, a Gram matrix to the driver. Rows with null
+    y or x take no part."""
+    good = rows.where(F.col(y).isNotNull() & F.col(x).isNotNull()).select(F.col(y).cast("double").alias("y"), F.col(x).cast("array<double>").alias("x"))
+    n, mean = good.agg(F.count("*"), F.avg("y")).first()
+    beta = np.zeros(len(names) + 1)
+    beta[0] = math.log(max(mean or 0.0, 1e-12))
+    at = [0, *range(2, len(names) + 2)]
+    for _ in range(rounds):
+        eta = F.col("_fit")
+        work = fitted(good, beta.tolist(), "_fit").withColumn("_w", F.exp(eta / 2)).withColumn("_z", eta + (F.col("y") - F.exp(eta)) / F.exp(eta))
+        row = F.transform(F.concat(F.array(F.lit(1.0), F.col("_z")), F.col("x")), lambda v: v * F.col("_w"))
+        g = gram(work.select(row.alias("x")), len(names) + 2)
+        inverse = np.linalg.pinv(g[np.ix_(at, at)], rcond=1e-12, hermitian=True)
+        new = inverse @ g[at, 1]
+        moved, beta = np.abs(new - beta).max(), new
+        if moved <= least * max(np.abs(beta).max(), 1):
+            break
+    se = np.sqrt(np.maximum(np.diag(inverse), 0))
+    return [{"name": m, "coefficient": float(b), "se": float(e), "z": float(b / e) if e > 0 else float("nan"), "n": float(n)} for m, b, e in zip(["(constant)", *names], beta, se, strict=True)]
+
+
+def power_law(values: list[float], quadratic: bool = False) -> dict:
+    """Least squares of log value on log place (and its square), over positive
+    values, as of singular values in falling order."""
+    v = np.array([x for x in values if x > 0], float)
+    z = np.log(np.arange(1, len(v) + 1))
+    a = np.column_stack([np.ones(len(v)), z, z * z] if quadratic else [np.ones(len(v)), z])
+    beta = np.linalg.lstsq(a, np.log(v), rcond=None)[0]
+    return {"intercept": float(beta[0]), "slope": float(beta[1]), "square": float(beta[2]) if quadratic else 0.0}
 
 
 def validated_sequence(rows: DataFrame, first: list[str], names: list[str], folds: int = 0, seed: int = 2837, key: str = "doc_id", y: str = "y", x: str = "x") -> list[dict]:
@@ -236,13 +338,12 @@ def train_test_sequence(train: np.ndarray, test: np.ndarray, sizes: list[int]) -
 
 def stepwise(g: np.ndarray, names: list[str], forced: int = 0, most: int = 150, bonferroni: bool = True) -> list[dict]:
     """Forward selection on a Gram matrix: the column of largest t enters, until
-    none passes the Bonferroni bound (or `most` columns are in)."""
+    none passes the Bonferroni bound on t (or `most` columns are in)."""
     a, q, n, inside, out = sweep(g, 0), 1, g[0, 0], set(), []
     for k in range(forced):
         if a[k + 2, k + 2] > 1e-10 * g[k + 2, k + 2]:
             a, q = sweep(a, k + 2), q + 1
         inside.add(k)
-    bound = NormalDist().inv_cdf(1 - 0.025 / max(len(names), 1))
     while len(out) < most and n > q + 1:
         best, top = None, 0.0
         for k in range(len(names)):
@@ -253,7 +354,7 @@ def stepwise(g: np.ndarray, names: list[str], forced: int = 0, most: int = 150,
             t = math.sqrt(drop / max((a[1, 1] - drop) / (n - q - 1), 1e-300))
             if t > top:
                 best, top = k, t
-        if best is None or (bonferroni and top < bound):
+        if best is None or (bonferroni and top < t_quantile(1 - 0.025 / max(len(names), 1), n - q - 1)):
             break
         a, q = sweep(a, best + 2), q + 1
         inside.add(best)
@@ -282,30 +383,65 @@ def lasso_path(g: np.ndarray, names: list[str], steps: int = 20, rounds: int = 2
     return out
 
 
-def t_summary(ts: list[float]) -> dict:
-    """Bonferroni bound, expected |t| under no effect, and the slope of sorted
+def lar_path(g: np.ndarray, names: list[str], most: int | None = None) -> list[dict]:
+    """Least angle regression on the Gram matrix, columns standardised: at each
+    step the column of largest correlation with the residual joins, and the
+    coefficients move along the equiangular direction until another column is
+    as correlated. One row a step and column that is in."""
+    n, mean = g[0, 0], g[0] / g[0, 0]
+    s = g[1:, 1:] - n * np.outer(mean[1:], mean[1:])
+    sd = np.sqrt(np.maximum(np.diag(s)[1:] / n, 0))
+    free = np.flatnonzero(sd > 1e-12)
+    c, r = s[1:, 1:][np.ix_(free, free)] / n / np.outer(sd[free], sd[free]), s[0, 1:][free] / n / sd[free]
+    beta, active, out = np.zeros(len(free)), [], []
+    for step in range(min(most or len(free), len(free))):
+        left = r - c @ beta
+        others = [k for k in range(len(free)) if k not in active]
+        active.append(max(others, key=lambda k: abs(left[k])))
+        top, sign = abs(left[active]).max(), np.sign(left[active])
+        if top < 1e-12:
+            break
+        inverse = np.linalg.pinv(c[np.ix_(active, active)] * np.outer(sign, sign), hermitian=True)
+        scale = 1 / math.sqrt(max(inverse.sum(), 1e-300))
+        move = np.zeros(len(free))
+        move[active] = scale * inverse.sum(1) * sign
+        along, reach = c @ move, top / scale
+        for k in others:
+            if k not in active:
+                for gap, slope in ((top - left[k], scale - along[k]), (top + left[k], scale + along[k])):
+                    if slope > 1e-12 and 1e-12 < gap / slope < reach:
+                        reach = gap / slope
+        beta = beta + reach * move
+        out += [{"step": step + 1, "name": names[free[k]], "coefficient": float(beta[k])} for k in active]
+    return out
+
+
+def t_summary(ts: list[float], df: float | None = None) -> dict:
+    """Bonferroni bound (of t with df degrees of freedom, else normal), expected |t| under no effect, and the slope of sorted
     |t| on half-normal quantiles over the lower quarter."""
     t, p = np.sort(np.abs(np.array([x for x in ts if x == x]))), len(ts)
     q = np.array([NormalDist().inv_cdf(0.5 + 0.5 * (k + 0.5) / len(t)) for k in range(len(t))])
     low = max(2, len(t) // 4)
     slope = float((q[:low] @ t[:low]) / max(q[:low] @ q[:low], 1e-300)) if len(t) else float("nan")
-    return {"bound": -NormalDist().inv_cdf(0.025 / max(p, 1)), "expected": math.sqrt(2 / math.pi), "half_normal_slope": slope}
+    return {"bound": -NormalDist().inv_cdf(0.025 / max(p, 1)) if df is None else t_quantile(1 - 0.025 / max(p, 1), df), "expected": math.sqrt(2 / math.pi), "half_normal_slope": slope}
 
 
 def normal_scores(rows: DataFrame, column: str) -> DataFrame:
-    """(value, q): values with normal quantiles of their ranks, for Q-Q plots."""
-    from pyspark.sql import Window
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("double")
-    def quantile(p: "pd.Series") -> "pd.Series":  # noqa: F821, UP037
-        d = NormalDist()
-        return p.map(d.inv_cdf)
-
-    n = rows.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).groupBy("value").agg(F.count("*").alias("n"))
-    w = Window.orderBy("value")
-    placed = n.withColumn("upto", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))).crossJoin(n.agg(F.sum("n").alias("total")))
-    return placed.select("value", "n", quantile((F.col("upto") - F.col("n") / 2) / F.col("total")).alias("q"))
+    """(value, n, q): distinct values with normal quantiles of the middle of
+    their ranks, for Q-Q plots. Nulls take no part."""
+    n = rows.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("value")).groupBy("value").agg(F.count("*").alias("n"))
+    placed = running_totals(n, "value", "n")
+    return placed.select("value", "n", normal_quantile((F.col("before") + F.col("n") / 2) / F.col("total")).alias("q"))
+
+
+def autocorrelation(rows: DataFrame, order: str, column: str, lags: int = 5) -> DataFrame:
+    """(lag, r): correlations of a column with itself `lag` rows later, in the
+    order of a whole-number key without gaps or repeats: pairs come from an
+    equi-join on the key, not from a sorted partition."""
+    a = rows.select(F.col(order).alias("_k"), F.col(column).cast("double").alias("a"))
+    b = rows.select(F.col(order).alias("_o"), F.col(column).cast("double").alias("b"))
+    b = b.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(lags)))).withColumn("_k", F.col("_o") - F.col("lag")).drop("_o")
+    return a.join(b, "_k").groupBy("lag").agg(F.corr("a", "b").alias("r"))
 
 
 def calibration(rows: DataFrame, degree: int = 5, y: str = "y", fit: str = "fit") -> list[dict]:

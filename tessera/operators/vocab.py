@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.session import cut
 
 OOV, EOL = "OOV", "EOL"
 
@@ -57,12 +58,39 @@ def rare_types(counts: DataFrame, min_freq: int = 3) -> DataFrame:
     return counts.where(F.col("freq") < min_freq)
 
 
+#: A vocabulary of at most so many types is broadcast; of a larger one, types
+#: that hold over 1 / HOT_PARTS of all tokens, which are at most HOT_PARTS.
+BROADCAST_TYPES, HOT_PARTS = 1 << 20, 4096
+
+
+def settled(vocab: DataFrame) -> DataFrame:
+    """The vocabulary as a written table, so that its size can be asked and
+    several joins read one result."""
+    return vocab if hasattr(vocab, "_tessera_path") else cut(vocab, "types")
+
+
+def is_small(vocab: DataFrame) -> bool:
+    """Whether a settled vocabulary may be broadcast."""
+    return vocab.count() <= BROADCAST_TYPES
+
+
 def indexed(rows: DataFrame, vocab: DataFrame, column: str = "tok", out: str = "idx") -> DataFrame:
     """rows with the type index of a token column; unknown tokens get that of
-    OOV, or -1 where the vocabulary has none."""
+    OOV, or -1 where the vocabulary has none. A small vocabulary is broadcast;
+    of a large one its most frequent types are, so that no key of the join that
+    is left holds many rows."""
+    vocab = settled(vocab)
     v = vocab.select(F.col("type").alias("_t"), F.col("idx").alias(out))
     oov = vocab.where(F.col("type") == OOV).agg(F.max("idx").alias("_oov"))
-    return rows.join(v, F.col(column) == F.col("_t"), "left").crossJoin(F.broadcast(oov)).withColumn(out, F.coalesce(out, "_oov", F.lit(-1))).drop("_t", "_oov")
+    if is_small(vocab):
+        joined = rows.join(F.broadcast(v), F.col(column) == F.col("_t"), "left").drop("_t")
+    else:
+        limit = vocab.agg(F.sum("freq")).first()[0] / HOT_PARTS
+        hot = vocab.where((F.col("freq") > limit) & (F.col("type") != OOV)).select(F.col("type").alias("_h"), F.col("idx").alias("_hot"))
+        first = rows.join(F.broadcast(hot), F.col(column) == F.col("_h"), "left").drop("_h")
+        rest = first.where("_hot is null").join(v, F.col(column) == F.col("_t"), "left").drop("_t", "_hot")
+        joined = rest.unionByName(first.where("_hot is not null").withColumnRenamed("_hot", out))
+    return joined.crossJoin(F.broadcast(oov)).withColumn(out, F.coalesce(out, "_oov", F.lit(-1))).drop("_oov")
 
 
 def totals(docs: DataFrame, counts: DataFrame, min_freq: int = 3) -> DataFrame:
@@ -104,9 +132,16 @@ class Vocabulary:
         self.arrays = token_arrays(self.docs, self.skip_initial, self.mark_eol)
         self.tokens = self.arrays.select("doc_id", F.posexplode("toks").alias("pos", "tok"))
         self.counts = type_counts(self.tokens)
-        self.types = ranked(collapse(self.counts, self.min_freq))
+        self._types = None
         self.oov = rare_types(self.counts, self.min_freq)
 
+    @property
+    def types(self) -> DataFrame:
+        """(type, freq, idx), written once: every use reads the same table."""
+        if self._types is None:
+            self._types = cut(ranked(collapse(self.counts, self.min_freq)), "types")
+        return self._types
+
     def n_types(self) -> int:
         return self.types.count()
 

@@ -216,9 +216,8 @@ def bigram_margins(spark, sf_dir):
 def _scaled_bigrams(name: str, how: str, sql: str) -> None:
     @query(name, f"{_pairs_sql(0, True)} SELECT i, j, round({sql}, 6) AS v FROM big JOIN vocab a ON i = a.idx JOIN vocab b ON j = b.idx")
     def one(spark, sf_dir):
-        types = cut(_vocab(spark, sf_dir, True).types, "types")
         v = _vocab(spark, sf_dir, True)
-        return N.scale_bigrams(N.bigram_counts(v.arrays, types, 0), types, how).select("i", "j", _r("v").alias("v"))
+        return N.scale_bigrams(N.bigram_counts(v.arrays, v.types, 0), v.types, how).select("i", "j", _r("v").alias("v"))
 
 
 _scaled_bigrams("bigram_scaled_row", "r", "n / sqrt(a.freq)")
@@ -235,7 +234,7 @@ _scaled_bigrams("bigram_right", "right", "n / b.freq")
 )
 def unified_matrix(spark, sf_dir):
     v = _vocab(spark, sf_dir, True)
-    types = cut(v.types, "types")
+    types = v.types
     out = N.unified_matrix(N.bigram_counts(v.arrays, types, 0), cut(N.document_counts(v.tokens, types), "dtm"), types, types.count())
     return out.select("i", "j", _r("v").alias("v"))
 

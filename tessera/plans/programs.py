@@ -44,9 +44,9 @@ def lsa(docs: DataFrame, min_frequency: int = 3, adjustment: str = "w", quadrati
     length and features. Quadratic mode projects the products of all pairs of
     scaled types and has no singular values."""
     vocab = Vocabulary(docs, 0, False, min_frequency)
-    types = cut(vocab.types, "types")
+    types = vocab.types
     dtm = cut(N.document_counts(vocab.tokens, types), "dtm")
-    out = {"types": types, "dtm": dtm}
+    out = {"vocab": vocab, "types": types, "dtm": dtm}
     cells = _cells(N.scale_documents(dtm, adjustment))
     if quadratic:
         q = L.quadratic_range(cells, n_projections, power_iter, random_seed)
@@ -65,7 +65,7 @@ def bigram_features(docs: DataFrame, min_frequency: int = 3, adjustment: str = "
     """Documents as count-weighted means of their types' bigram directions:
     D^-1 W P, with P a random range of the scaled bigram counts."""
     vocab = Vocabulary(docs, 0, True, min_frequency)
-    types = cut(vocab.types, "types")
+    types = vocab.types
     dtm = cut(N.document_counts(vocab.tokens, types), "dtm")
     cells = N.scale_bigrams(vocab_bigrams(vocab, types, bigram_skip), types, adjustment)
     p = L.random_range(cells, n_projections, power_iter, random_seed)
@@ -85,17 +85,16 @@ def bigram_sides(docs: DataFrame, min_frequency: int = 3, power_iter: int = 0, n
     """Left and right directions of raw, left-, right- and both-scaled bigrams:
     name -> (u rows, d, v rows)."""
     vocab = Vocabulary(docs, 0, True, min_frequency)
-    types = cut(vocab.types, "types")
+    types = vocab.types
     cells = cut(vocab_bigrams(vocab, types), "bigrams")
     return {name: L.randomized_svd(N.scale_bigrams(cells, types, how), n_projections, power_iter, random_seed) for name, how in (("raw", "w"), ("left", "left"), ("right", "right"), ("sym", "b"))}
 
 
-def regressor(docs: DataFrame, min_frequency: int = 3, bigram_skip: int = 0, bidirectional: bool = False, power_iter: int = 0, n_projections: int = 50, random_seed: int = 77777, n_words: int = 3000) -> dict:
+def regressor(docs: DataFrame, min_frequency: int = 3, bigram_skip: int = 0, bidirectional: bool = False, power_iter: int = 0, n_projections: int = 50, random_seed: int = 77777, n_words: int = 3000, vocab_docs: DataFrame | None = None) -> dict:
     """Regressions of log y on the leading word columns, with the parsed
-    attributes, LSA and bigram features beside them."""
-    vocab = Vocabulary(docs, 0, True, min_frequency)
-    types = cut(vocab.types, "types")
-    dtm = cut(N.document_counts(vocab.tokens, types), "dtm")
+    attributes, LSA and bigram features beside them. Vocabulary and bigrams
+    come from vocab_docs(doc_id, text) where given, else from docs."""
+    vocab, types, dtm = _two_corpora(docs, vocab_docs, min_frequency)
     names = [r["type"] for r in types.where(F.col("idx") < n_words).orderBy("idx").collect()]
     k = len(names)
     words = cut(L.dense_rows(_cells(N.scale_documents(dtm, "w")), k), "words")
@@ -103,7 +102,7 @@ def regressor(docs: DataFrame, min_frequency: int = 3, bigram_skip: int = 0, bid
     cells = N.scale_bigrams(vocab_bigrams(vocab, types, bigram_skip), types, "b")
     p = L.random_range(cells, n_projections, power_iter, random_seed)
     centroid = L.times_rows(_cells(N.entropy_weighted(dtm)), p, n_projections)
-    out = {"types": types, "dtm": dtm, "rows": rows, "steps": R.sequence_r2(rows, names), "parsed": docs.select("doc_id", *numeric.parse_all(F.col("text"))), "bigram": centroid}
+    out = {"vocab": vocab, "types": types, "dtm": dtm, "rows": rows, "steps": R.sequence_r2(rows, names), "parsed": docs.select("doc_id", *numeric.parse_all(F.col("text"))), "bigram": centroid}
     if bidirectional:
         q = L.random_range(L.flip(cells), n_projections, power_iter, random_seed + 1)
         out["bigram_right"] = L.times_rows(_cells(N.entropy_weighted(dtm)), q, n_projections)
@@ -111,18 +110,24 @@ def regressor(docs: DataFrame, min_frequency: int = 3, bigram_skip: int = 0, bid
     return out
 
 
-def unified(docs: DataFrame, min_frequency: int = 3, bigram_skip: int = 0, power_iter: int = 0, n_projections: int = 50, random_seed: int = 77777) -> dict:
+def _two_corpora(docs: DataFrame, vocab_docs: DataFrame | None, min_frequency: int) -> tuple[Vocabulary, DataFrame, DataFrame]:
+    """(vocabulary of one corpus, its types, counts of the other's documents)."""
+    vocab = Vocabulary(docs if vocab_docs is None else vocab_docs, 0, True, min_frequency)
+    own = vocab if vocab_docs is None else Vocabulary(docs, 0, True, min_frequency)
+    return vocab, vocab.types, cut(N.document_counts(own.tokens, vocab.types), "dtm")
+
+
+def unified(docs: DataFrame, min_frequency: int = 3, bigram_skip: int = 0, power_iter: int = 0, n_projections: int = 50, random_seed: int = 77777, vocab_docs: DataFrame | None = None) -> dict:
     """Features from [F^-1/2 B F^-1/2 | F^-1/2 W'] together: P its random
-    range, scaled back by F^-1/2, and A = W P with rows of W summing to one."""
-    vocab = Vocabulary(docs, 0, True, min_frequency)
-    types = cut(vocab.types, "types")
-    dtm = cut(N.document_counts(vocab.tokens, types), "dtm")
+    range, scaled back by F^-1/2, and A = W P with rows of W summing to one.
+    Vocabulary and bigrams come from vocab_docs where given."""
+    vocab, types, dtm = _two_corpora(docs, vocab_docs, min_frequency)
     cells = N.unified_matrix(vocab_bigrams(vocab, types, bigram_skip), dtm, types, types.count())
     p = L.random_range(cells, n_projections, power_iter, random_seed)
     f = types.select(F.col("idx").cast("long").alias("i"), F.sqrt("freq").alias("s"))
     p = p.join(f, "i").select("i", F.transform("x", lambda v: v / F.col("s")).alias("x"))
     a = cut(L.times_rows(_cells(N.scale_documents(dtm, "n")), p, n_projections), "unified")
-    out = {"types": types, "dtm": dtm, "directions": p, "features": a}
+    out = {"vocab": vocab, "types": types, "dtm": dtm, "directions": p, "features": a}
     if "y" in docs.columns:
         rows = _with_rows(docs, dtm, a, n_projections, True)
         out |= {"rows": rows, "steps": R.sequence_r2(rows, [f"U{k}" for k in range(n_projections)])}
@@ -151,7 +156,7 @@ def cluster_types(tagged: DataFrame, skip: int = 0, threshold: float = 0.0, bidi
     assigned = cut(model.assign(rows), "assigned")
     named = assigned.join(types.select(F.col("idx").cast("long").alias("id"), "type"), "id").join(tm.majority.select("type", "pos"), "type")
     classifier = C.ClusterClassifier.of(named)
-    out = {"ambiguity": ambiguity(tm.counts), "model": model, "assigned": assigned, "summary": C.cluster_summary(assigned), "classifier": classifier, "confusion": classifier.confusion(tm.tagged), "score": classifier.score(tm.tagged)}
+    out = {"ambiguity": ambiguity(tm.counts), "model": model, "assigned": assigned, "summary": C.cluster_summary(assigned), "classifier": classifier, "confusion": classifier.confusion(tm.tagged), "score": classifier.score(tm.tagged), "margins": tm.counts}
     if validation is not None:
         vm = TaggedTokens(validation, threshold)
         own = cut(vm.types, "types")
@@ -237,6 +242,12 @@ def _parser() -> argparse.ArgumentParser:
     return top
 
 
+def _vocabulary_files(vocab: Vocabulary, path: str) -> None:
+    """Type frequencies and the first 200 types that OOV stands for."""
+    sinks.frequencies(vocab.types, f"{path}/type_freq")
+    sinks.first_oov(vocab.oov, 200, f"{path}/oov")
+
+
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> None:
     o = _parser().parse_args(args)
     spark = spark or SparkSession.builder.appName(f"tessera-{o.program}").getOrCreate()
@@ -246,6 +257,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         docs = docs if o.has_y else docs.drop("y")
         out = lsa(docs, adjustment=o.adjustment, quadratic=o.quadratic, use_log=o.use_log, **common)
         base = f"{o.output_path}/{'lsaq' if o.quadratic else 'lsa'}_{o.adjustment}_{o.n_projections}_p{o.power_iter}"
+        _vocabulary_files(out["vocab"], o.output_path)
         sinks.word_columns(out["dtm"], out["types"], 7500, f"{o.output_path}/word_counts")
         if out["d"] is None:
             sinks.matrix(out["features"], o.n_projections, "L", f"{base}_u", "i")
@@ -268,6 +280,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
             sinks.matrix(v, o.n_projections, "V", f"{o.output_path}/v_{name}", "i")
     elif o.program in ("regressor", "unified_regressor"):
         docs = text_sources.corpus(spark, o.regr_file, True)
+        common["vocab_docs"] = text_sources.corpus(spark, o.vocab_file).select("doc_id", "text") if o.vocab_file else None
         if o.program == "regressor":
             out = regressor(docs, bigram_skip=o.bigram_skip, bidirectional=o.bidirectional, n_words=o.n_words, **common)
             sinks.write_tsv(out["parsed"], f"{o.output_path}/parsed")
@@ -277,6 +290,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
             out = unified(docs, bigram_skip=o.bigram_skip, **common)
             sinks.responses(out["rows"], f"{o.output_path}/unified_y_m")
             sinks.matrix(out["features"], o.n_projections, "U", f"{o.output_path}/unified_svd_{o.n_projections}", "i")
+        _vocabulary_files(out["vocab"], o.output_path)
         sinks.steps(spark, out["steps"], f"{o.output_path}/steps")
     elif o.program == "seq_regression":
         names, blocks = [], []
@@ -284,17 +298,19 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
             own = text_sources.header(spark, path)[:most] if path else []
             names.append(own)
             blocks.append(text_sources.matrix(spark, path, text_sources.header(spark, path)).select("row_id", F.slice("x", 1, len(own)).alias("x")) if path else None)
-        y = text_sources.matrix(spark, o.y_file, text_sources.header(spark, o.y_file)).select("row_id", F.col("x")[0].alias("y"))
-        rows = y
-        for k, b in enumerate(blocks):
-            rows = rows.join(b.withColumnRenamed("x", f"x{k}"), "row_id") if b is not None else rows.withColumn(f"x{k}", F.array().cast("array<double>"))
-        rows = rows.select("row_id", "y", F.concat("x0", "x1").alias("x"))
+        y = text_sources.matrix(spark, o.y_file, text_sources.header(spark, o.y_file))
+        rows = text_sources.aligned(y, *[b for b in blocks if b is not None])
+        if o.n is not None and rows.count() != o.n:
+            raise SystemExit(f"{rows.count()} rows, not {o.n}")
+        rows = rows.select("row_id", F.col("x0")[0].alias("y"), F.concat(F.array().cast("array<double>"), *[f"x{k}" for k in range(1, len(rows.columns) - 1)]).alias("x"))
         sinks.steps(spark, seq_regression(rows, names[0], names[1], o.folds, o.seed), o.output_file)
     elif o.program == "cluster":
         val = text_sources.tagged_tokens(spark, o.validation) if o.validation else None
         out = cluster_types(text_sources.tagged_tokens(spark, o.file), o.skip, o.threshold, o.bidirectional, o.projections, o.scale_data, o.weight_centroid, o.clusters, o.scale_centroid, o.iterations, validation=val)
         for name in ("summary", "confusion", "score"):
             sinks.write_tsv(out[name], f"{o.output_path}/{name}")
+        sinks.tag_margins(out["margins"], f"{o.output_path}/margins")
+        sinks.centres(spark, out["model"].centres, out["summary"], f"{o.output_path}/centres")
         if o.print:
             out["summary"].orderBy(F.desc("n")).show(o.print)
     elif o.program == "reply_encoder":

@@ -12,8 +12,6 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: dict[str, str] = {}
-_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-_ROWS_BEFORE: dict[str, str] = {}
 
 
 def session(cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -38,8 +36,6 @@ def ship(spark: SparkSession) -> None:
     live across tasks; this makes the import work wherever the driver started.
     """
     app = spark.sparkContext.applicationId
-    if app in _ROWS_BEFORE:  # what arrow_rows() set for long texts doesn't slow short rows down
-        spark.conf.set(_ROWS, _ROWS_BEFORE.pop(app))
     if app in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
@@ -54,12 +50,14 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder name below spark.checkpoint.dir, which every executor
     sees. Where the session has none (tests), one below the driver's temporary
-    folder is set."""
+    folder is set; a cluster must name one."""
     sc = spark.sparkContext
     base = sc.getCheckpointDir()
     if base is None:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="tessera-ckpt-")
         sc.setCheckpointDir(base)
         base = sc.getCheckpointDir() or base
@@ -89,9 +87,3 @@ def discard(df: DataFrame) -> None:
     if path:
         drop_path(df.sparkSession, path)
 
-
-def arrow_rows(spark: SparkSession, rows: int = 256) -> None:
-    """Bound the rows of an Arrow batch, for tables with very long texts. The
-    next ship() of another operator puts the session's own bound back."""
-    _ROWS_BEFORE.setdefault(spark.sparkContext.applicationId, spark.conf.get(_ROWS))
-    spark.conf.set(_ROWS, str(rows))

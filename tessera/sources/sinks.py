@@ -68,6 +68,13 @@ def tag_margins(counts: DataFrame, path: str) -> None:
     write_tsv(counts.groupBy("pos").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pos"), f"{path}_tags")
 
 
+def centres(spark, values, summary: DataFrame, path: str) -> None:
+    """One row a cluster: its size, distances, norm and centre."""
+    rows = [(k, float((c @ c) ** 0.5), *map(float, c)) for k, c in enumerate(values)]
+    named = spark.createDataFrame(rows, ["cluster", "norm", *[f"D{d}" for d in range(values.shape[1])]])
+    write_tsv(named.join(summary, "cluster", "left").select("cluster", "n", "rms", "furthest", "norm", *[f"D{d}" for d in range(values.shape[1])]).orderBy("cluster").coalesce(1), path)
+
+
 def column_stream(df: DataFrame, roles: dict[str, str], path: str, order: str | None = None) -> None:
     """Three lines a column: its name, its role and its values in row order."""
     key = F.col(order) if order else F.monotonically_increasing_id()

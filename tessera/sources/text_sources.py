@@ -1,9 +1,13 @@
 """Readers of line, token, vector and matrix files. Each returns a frame with
-explicit columns; line numbers come from the reader's own order where files
-have one, never from a shuffle."""
+explicit columns. Line numbers count from 0 in the order of the scan: one small
+pass counts the rows of each partition (the same scan gives the same
+partitions), so that files which split differently still agree row by row."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -13,10 +17,31 @@ from tessera.functions import text as T
 LONGEST_QUOTED = 47
 
 
+_PART = 33  # monotonically_increasing_id: partition << 33 | row in it
+
+
+def _starts(rows: DataFrame, size: Column) -> DataFrame:
+    """(_p, _start): the sum of `size` over the partitions before each one. One
+    row a partition: small enough to broadcast."""
+    per = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(size).alias("n")).collect()
+    out, at = [], 0
+    for r in sorted(per, key=lambda r: r["p"]):
+        out.append((r["p"], at))
+        at += r["n"] or 0
+    return rows.sparkSession.createDataFrame(out, "_p int, _start long")
+
+
+def with_numbers(rows: DataFrame, out: str) -> DataFrame:
+    """rows of a scan with their number, from 0, without gaps."""
+    at = rows.withColumn("_m", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_m", _PART).cast("int"))
+    joined = at.join(F.broadcast(_starts(rows, F.lit(1))), "_p", "left")
+    number = F.col("_start") + F.col("_m") - F.shiftleft(F.col("_p").cast("long"), _PART)
+    return joined.select(number.alias(out), *[F.col(f"`{c}`") for c in rows.columns])
+
+
 def numbered(lines: DataFrame, column: str = "value") -> DataFrame:
-    """(line_no, value): numbers rise in file order; they have gaps between
-    partitions, so that no pass over the data is needed to give them."""
-    return lines.select(F.monotonically_increasing_id().alias("line_no"), F.col(column).alias("value"))
+    """(line_no, value)."""
+    return with_numbers(lines.select(F.col(column).alias("value")), "line_no")
 
 
 def corpus(spark: SparkSession, path: str, has_y: bool = False) -> DataFrame:
@@ -32,18 +57,43 @@ def corpus(spark: SparkSession, path: str, has_y: bool = False) -> DataFrame:
 
 
 def tagged_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(seq, type, pos) of white-space separated pairs."""
-    rows = numbered(spark.read.text(path)).withColumn("t", T.tokens(F.col("value")))
-    pairs = rows.select("line_no", F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("t") / 2 - 1, F.lit(-1)).cast("int")), lambda i: F.struct(F.try_element_at("t", 2 * i + 1).alias("type"), F.try_element_at("t", 2 * i + 2).alias("pos")))).alias("k", "p"))
-    seq = F.col("line_no") * (1 << 20) + F.col("k")
-    return pairs.where("p.type is not null and p.pos is not null").select(seq.alias("seq"), "p.type", "p.pos")
+    """(seq, type, pos) of white-space separated pairs, read as one stream:
+    a pair may lie on two lines. A last type without a tag is left out."""
+    rows = spark.read.text(path).select(T.tokens(F.col("value")).alias("t"))
+    starts = {r["_p"]: r["_start"] for r in _starts(rows, F.size("t")).collect()}
+    # one token a partition: what completes a pair that began in the partition before
+    full = rows.where(F.size("t") > 0).select(F.monotonically_increasing_id().alias("m"), F.col("t")[0].alias("first"))
+    heads = {r["p"]: r["first"] for r in full.groupBy(F.shiftright("m", _PART).alias("p")).agg(F.min_by("first", "m").alias("first")).collect()}
+    following = {p: next((heads[q] for q in sorted(heads) if q > p), None) for p in starts}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        at, held = starts.get(part, 0), None
+        skip = at % 2  # the partition before takes the first token
+        for b in batches:
+            toks = [t for line in b.column(0).to_pylist() for t in line]
+            if skip and toks:
+                toks, at, skip = toks[1:], at + 1, 0
+            if held is not None:
+                toks, held = [held, *toks], None
+            if len(toks) % 2:
+                held = toks.pop()
+            n = len(toks) // 2
+            yield pa.RecordBatch.from_arrays([pa.array(range(at // 2, at // 2 + n), pa.int64()), pa.array(toks[::2], pa.string()), pa.array(toks[1::2], pa.string())], names=["seq", "type", "pos"])
+            at += 2 * n
+        if held is not None and following.get(part) is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([at // 2], pa.int64()), pa.array([held]), pa.array([following[part]])], names=["seq", "type", "pos"])
+
+    return rows.mapInArrow(run, "seq long, type string, pos string")
 
 
 def tagged_tsv(spark: SparkSession, path: str) -> DataFrame:
     """(seq, type, pos) of tab-separated tagger output."""
     schema = S.StructType([S.StructField("type", S.StringType()), S.StructField("pos", S.StringType())])
     rows = spark.read.schema(schema).option("sep", "\t").option("quote", "").csv(path)
-    return rows.where("pos is not null").select(F.monotonically_increasing_id().alias("seq"), "type", "pos")
+    return with_numbers(rows, "seq").where("pos is not null")
 
 
 def _vector(parts: Column) -> Column:
@@ -80,7 +130,19 @@ def matrix(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """(row_id, x) of a tab-separated numeric file with a header."""
     schema = S.StructType([S.StructField(n, S.DoubleType()) for n in names])
     rows = spark.read.schema(schema).option("sep", "\t").option("header", True).csv(path)
-    return rows.select(F.monotonically_increasing_id().alias("row_id"), F.array(*[F.col(f"`{n}`") for n in names]).alias("x"))
+    return with_numbers(rows.select(F.array(*[F.col(f"`{n}`") for n in names]).alias("x")), "row_id")
+
+
+def aligned(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """The matrices side by side by row_id: (row_id, x0, x1, ...). Different
+    numbers of rows raise an error."""
+    counts = [m.count() for m in (first, *others)]
+    if len(set(counts)) > 1:
+        raise ValueError(f"matrices of different lengths: {counts}")
+    out = first.withColumnRenamed("x", "x0")
+    for k, m in enumerate(others, 1):
+        out = out.join(m.withColumnRenamed("x", f"x{k}"), "row_id")
+    return out
 
 
 def header(spark: SparkSession, path: str, sep: str = "\t") -> list[str]:
@@ -113,4 +175,4 @@ def coded_survey(spark: SparkSession, path: str, codes: int, transcript: str = "
     """(id, transcript, codes, n_codes) of a CSV with one column a code."""
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     listed = F.filter(F.array(*[F.col(f"`{code}{k}`").try_cast("int") for k in range(codes)]), lambda v: v.isNotNull())
-    return rows.select(F.monotonically_increasing_id().alias("id"), F.col(f"`{transcript}`").alias("transcript"), listed.alias("codes"), F.size(F.array_distinct(listed)).alias("n_codes"))
+    return with_numbers(rows, "_id").select(F.col("_id").alias("id"), F.col(f"`{transcript}`").alias("transcript"), listed.alias("codes"), F.size(F.array_distinct(listed)).alias("n_codes"))

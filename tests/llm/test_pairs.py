@@ -190,8 +190,8 @@ def test_likeness_estimates_jaccard():
     a = " ".join(f"w{k}" for k in range(600))
     b = " ".join(f"w{k}" if k < 480 else f"x{k}" for k in range(600))
     x, y = (shingle_set(t) for t in (a, b))
-    assert abs(fingerprints.likeness(f.values(a), f.values(b)) - len(x & y) / len(x | y)) < 0.12
-    assert fingerprints.likeness(f.values(a), f.values(a)) == 1 and fingerprints.likeness(f.values(a), f.values("q r s")) < 0.05
+    assert abs(fingerprints.likeness(*f.prints([a, b])) - len(x & y) / len(x | y)) < 0.12
+    assert fingerprints.likeness(*f.prints([a, a])) == 1 and fingerprints.likeness(*f.prints([a, "q r s"])) < 0.05
 
 
 def shingle_set(t):

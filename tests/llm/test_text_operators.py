@@ -1,6 +1,7 @@
 """op1, op6 and op7: classifiers on made-up corpora, main text of small pages."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import html_text, language_id, toxicity
@@ -109,7 +110,7 @@ def test_toxicity_learns_and_keeps_rules(spark):
 
 def test_segments_of_long_texts_change_nothing():
     net = toxicity.Net()
-    words = toxicity.words_of(" ".join(f"w{k % 700}" for k in range(3000)))
+    words = toxicity.words_of(pa.array([" ".join(f"w{k % 700}" for k in range(3000))]))[0]
     whole, old = net.features(words), toxicity._SEGMENT
     try:
         toxicity._SEGMENT = 256

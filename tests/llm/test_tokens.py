@@ -1,12 +1,15 @@
 """op2, op4 and op9: ids, files, packing and counts against the libraries."""
 
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import huffman, packing, token_counts
 from tessera.llm.wordbpe import WordBpe, tokenizer_path
+from tessera.llm.words import Held, slices
 
 TEXTS = ["", None, " ", "a", "The  cat's 12 naïve cafés!\n\tOK", "x" * 3000, "<|endoftext|> and <|startoftext|>s", "漢字 テスト é é", "don't WE'LL 'S", "a\x00b\x1cc\x85d e f", "ÀÉ ß ÿ × ÷ Ÿ İ ſ", "word " * 5000, "▁x ▁ ▁▁y", "tail ", "  lead", "a  b   c", "a\nb\n\n c", "<s> </s> <unk> <0x0A>", "🙂🙂 ok"]
 
@@ -26,14 +29,41 @@ def library():
 
 def test_word_bpe_equals_the_library(library):
     bpe = WordBpe(tokenizer_path())
+    assert bpe.plain
+    rng = random.Random(4)
+    alphabet = "aabcdesltvrm''''  .,;-\t\n09AZSTÀÉßÿ÷×<|>_日é́\x1c "
+    odd = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    for texts in (TEXTS, odd, ["<", "|x", "'", "s", "É"], []):
+        got = bpe.encode(pa.array(texts, pa.string()))
+        for t, ids in zip(texts, got, strict=True):
+            assert ids.tolist() == library.encode(t or "", add_special_tokens=False).ids, t
+    assert [x.tolist() for x in bpe.encode(pa.array([None, "a"]), 7)] == [[7], [*library.encode("a", add_special_tokens=False).ids, 7]]
+    bpe.plain = False
+    assert [x.tolist() for x in bpe.encode(pa.array(TEXTS))] == [library.encode(t or "", add_special_tokens=False).ids for t in TEXTS]
+
+
+def test_word_bpe_survives_small_memories(library):
+    bpe = WordBpe(tokenizer_path(), most=500)
     for t in TEXTS:
-        assert np.frombuffer(bpe.encode((t or "").encode()), "<u2").tolist() == library.encode(t or "", add_special_tokens=False).ids, t
+        assert bpe.encode(pa.array([t]))[0].tolist() == library.encode(t or "", add_special_tokens=False).ids
+    assert bpe.ids.held <= 500 or len(bpe.ids) == 1
 
 
-def test_word_bpe_survives_small_caches(library):
-    bpe = WordBpe(tokenizer_path(), most=3)
-    for t in TEXTS:
-        assert np.frombuffer(bpe.encode((t or "").encode()), "<u2").tolist() == library.encode(t or "", add_special_tokens=False).ids
+def test_what_workers_keep_is_bounded_and_of_one_operator():
+    a, b = Held(1000), Held(1000)
+    a.claim()
+    for k in range(100):
+        a.keep(b"%d" % k, b"x")
+        assert a.held <= 1000
+    b.claim()
+    assert not a and a.held == 0
+
+
+def test_slices_hold_whole_rows():
+    batch = pa.RecordBatch.from_arrays([pa.array(["abc", None, "x" * 50, "", "de"])], names=["text"])
+    got = [x.column(0).to_pylist() for x in slices([batch], most=5)]
+    assert [t for x in got for t in x] == batch.column(0).to_pylist()
+    assert all(len(x) == 1 or sum(len(t or "") for t in x) <= 5 for x in got)
 
 
 def test_piece_counts_equal_the_library(spark, docs):
