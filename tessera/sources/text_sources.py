@@ -1,13 +1,15 @@
 """Readers of line, token, vector and matrix files. Each returns a frame with
-explicit columns. Line numbers count from 0 in the order of the scan: one small
-pass counts the rows of each partition (the same scan gives the same
-partitions), so that files which split differently still agree row by row."""
+explicit columns. Line numbers count from 0 in the order of file names and of
+lines in them, however a scan deals files and their blocks to tasks: one pass
+counts the rows of each block (the same scan gives the same blocks), so that
+files which split differently still agree row by row."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -17,26 +19,36 @@ from tessera.functions import text as T
 LONGEST_QUOTED = 47
 
 
-_PART = 33  # monotonically_increasing_id: partition << 33 | row in it
+def _placed(rows: DataFrame) -> DataFrame:
+    """rows of a scan with their block (_file, _block) and a number _m that
+    rises inside it."""
+    try:
+        placed = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    except AnalysisException:  # not a scan of files: partitions are the blocks
+        placed = rows.select("*", F.lit("").alias("_file"), F.spark_partition_id().cast("long").alias("_block"))
+    return placed.withColumn("_m", F.monotonically_increasing_id())
 
 
-def _starts(rows: DataFrame, size: Column) -> DataFrame:
-    """(_p, _start): the sum of `size` over the partitions before each one. One
-    row a partition: small enough to broadcast."""
-    per = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(size).alias("n")).collect()
+def _blocks(placed: DataFrame, size: Column, first: Column | None = None) -> list:
+    """The blocks in order: _file, _block, low (the least _m), start (the sum of
+    `size` over earlier blocks), and the first value of `first`. One row a
+    block, as the scan's own list of splits on the driver."""
+    head = F.min_by(first, "_m") if first is not None else F.lit(None)
+    found = placed.groupBy("_file", "_block").agg(F.min("_m").alias("low"), F.sum(size).alias("n"), head.alias("first")).collect()
     out, at = [], 0
-    for r in sorted(per, key=lambda r: r["p"]):
-        out.append((r["p"], at))
-        at += r["n"] or 0
-    return rows.sparkSession.createDataFrame(out, "_p int, _start long")
+    for r in sorted(found, key=lambda r: (r["_file"], r["_block"])):
+        out.append((r["_file"], r["_block"], r["low"], at, r["n"], r["first"]))
+        at += r["n"]
+    return out
 
 
 def with_numbers(rows: DataFrame, out: str) -> DataFrame:
     """rows of a scan with their number, from 0, without gaps."""
-    at = rows.withColumn("_m", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_m", _PART).cast("int"))
-    joined = at.join(F.broadcast(_starts(rows, F.lit(1))), "_p", "left")
-    number = F.col("_start") + F.col("_m") - F.shiftleft(F.col("_p").cast("long"), _PART)
-    return joined.select(number.alias(out), *[F.col(f"`{c}`") for c in rows.columns])
+    placed = _placed(rows)
+    starts = [(f, b, low, start) for f, b, low, start, *_ in _blocks(placed, F.lit(1))]
+    blocks = rows.sparkSession.createDataFrame(starts, "_file string, _block long, _low long, _start long")
+    number = F.col("_start") + F.col("_m") - F.col("_low")
+    return placed.join(F.broadcast(blocks), ["_file", "_block"], "left").select(number.alias(out), *[F.col(f"`{c}`") for c in rows.columns])
 
 
 def numbered(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -59,34 +71,35 @@ def corpus(spark: SparkSession, path: str, has_y: bool = False) -> DataFrame:
 def tagged_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(seq, type, pos) of white-space separated pairs, read as one stream:
     a pair may lie on two lines. A last type without a tag is left out."""
-    rows = spark.read.text(path).select(T.tokens(F.col("value")).alias("t"))
-    starts = {r["_p"]: r["_start"] for r in _starts(rows, F.size("t")).collect()}
-    # one token a partition: what completes a pair that began in the partition before
-    full = rows.where(F.size("t") > 0).select(F.monotonically_increasing_id().alias("m"), F.col("t")[0].alias("first"))
-    heads = {r["p"]: r["first"] for r in full.groupBy(F.shiftright("m", _PART).alias("p")).agg(F.min_by("first", "m").alias("first")).collect()}
-    following = {p: next((heads[q] for q in sorted(heads) if q > p), None) for p in starts}
+    rows = _placed(spark.read.text(path).select(T.tokens(F.col("value")).alias("t"))).where(F.size("t") > 0)
+    blocks = _blocks(rows, F.size("t"), F.col("t")[0])
+    starts = {(f, b): start for f, b, _, start, *_ in blocks}
+    # what completes a pair that began in the block before
+    following = {(x[0], x[1]): y[5] for x, y in zip(blocks, blocks[1:], strict=False)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        at, held = starts.get(part, 0), None
-        skip = at % 2  # the partition before takes the first token
-        for b in batches:
-            toks = [t for line in b.column(0).to_pylist() for t in line]
-            if skip and toks:
-                toks, at, skip = toks[1:], at + 1, 0
-            if held is not None:
-                toks, held = [held, *toks], None
-            if len(toks) % 2:
-                held = toks.pop()
+        def pairs(at: int, toks: list[str]) -> pa.RecordBatch:
             n = len(toks) // 2
-            yield pa.RecordBatch.from_arrays([pa.array(range(at // 2, at // 2 + n), pa.int64()), pa.array(toks[::2], pa.string()), pa.array(toks[1::2], pa.string())], names=["seq", "type", "pos"])
-            at += 2 * n
-        if held is not None and following.get(part) is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([at // 2], pa.int64()), pa.array([held]), pa.array([following[part]])], names=["seq", "type", "pos"])
+            return pa.RecordBatch.from_arrays([pa.array(range(at // 2, at // 2 + n), pa.int64()), pa.array(toks[::2], pa.string()), pa.array(toks[1::2], pa.string())], names=["seq", "type", "pos"])
 
-    return rows.mapInArrow(run, "seq long, type string, pos string")
+        now, at, held = None, 0, []
+        for b in batches:
+            for line, place in zip(b.column(0).to_pylist(), zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True), strict=True):
+                if place != now:
+                    if held and now in following:
+                        held.append(following[now])
+                    yield pairs(at, held[: len(held) // 2 * 2])
+                    now, at, held = place, starts[place], []
+                    if at % 2:  # the block before takes the first token
+                        line, at = line[1:], at + 1
+                held += line
+            done = len(held) // 2 * 2
+            yield pairs(at, held[:done])
+            at, held = at + done, held[done:]
+        if held and now in following:
+            yield pairs(at, [held[0], following[now]])
+
+    return rows.select("t", "_file", "_block").mapInArrow(run, "seq long, type string, pos string")
 
 
 def tagged_tsv(spark: SparkSession, path: str) -> DataFrame:
