@@ -78,11 +78,14 @@ def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]
     chunk = inside & (before == _SPACE)
     odd = (kind == _ODD) | ((data == 60) & (after == 124))  # "<|" may begin a special token
     bad = np.zeros(n, bool)
-    if odd.any():
-        number = np.cumsum(chunk) - 1
-        marked = np.zeros(int(number[-1]) + 1, bool)
-        marked[number[odd & inside]] = True
-        bad = marked[number] & inside
+    at_odd = np.flatnonzero(odd)
+    if len(at_odd):
+        begins = np.flatnonzero(chunk)
+        ends = np.append(begins[1:], n)
+        hit = np.unique(np.searchsorted(begins, at_odd, side="right") - 1)
+        size = ends[hit] - begins[hit]
+        bad[np.repeat(begins[hit] - np.cumsum(size) + size, size) + np.arange(size.sum())] = True
+        bad &= inside
     begin = chunk | (inside & ~bad & ((kind != before) | (kind == _DIGIT)))
     quote = np.flatnonzero((data == 39) & begin & ~bad)
     if len(quote):
@@ -101,11 +104,9 @@ def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]
     second = at + 1
     up = second[(data[second] <= 0x9E) & plain[second]]
     lower[up] += 32
-    kept = np.cumsum(inside)
     starts = np.flatnonzero(begin)
-    ends = np.concatenate([kept[starts] - 1, [int(kept[-1]) if n else 0]])
-    counted = np.concatenate([[0], np.cumsum(begin)])
-    return strings(lower[inside], ends), counted[offsets]
+    sizes = np.add.reduceat(inside, starts, dtype=np.int64) if len(starts) else np.zeros(0, np.int64)
+    return strings(lower[inside], np.concatenate([[0], np.cumsum(sizes)])), np.searchsorted(starts, offsets)
 
 
 def _crossed(first: np.ndarray, p: np.ndarray, k: int, n: int) -> np.ndarray:

@@ -6,6 +6,7 @@ that Python only sees the distinct words of a batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -55,19 +56,31 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices that hold about `most` bytes of a text column each
     (a longer text alone), so that what is made of a slice stays small. Spark
-    bounds the batches themselves in bytes."""
-    for b in batches:
-        _, offsets = raw(b.column(column))
-        at = 0
-        while at < b.num_rows:
-            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
-            yield b.slice(at, to - at)
-            at = to
-        if not b.num_rows:
-            yield b
+    bounds the batches themselves in bytes. At the end the process gives back
+    what it no longer uses, as it may wait long for its next task."""
+    try:
+        for b in batches:
+            _, offsets = raw(b.column(column))
+            at = 0
+            while at < b.num_rows:
+                to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
+                yield b.slice(at, to - at)
+                at = to
+            if not b.num_rows:
+                yield b
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Return free memory of Arrow's pool and of the C library to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
