@@ -245,8 +245,9 @@ def _host(pages: DataFrame) -> DataFrame:
     return pages.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)))
 
 
-def low_nodes(pages: DataFrame) -> DataFrame:
-    """(host, node) of the branches whose importance is too low."""
+def node_importance(pages: DataFrame) -> DataFrame:
+    """(host, node, m, importance) of every branch of each host's style tree; m
+    is the number of pages that have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -281,14 +282,20 @@ def low_nodes(pages: DataFrame) -> DataFrame:
         F.max(F.when(F.col("kind") == 0, F.col("k")).otherwise(0)).alias("m"),
     )
     spread = lambda n, e: F.when((F.col(n) > 0) & (F.col("m") > 1), F.greatest(F.lit(0.0), 1 - F.col(e) / F.col(n) / F.log("m"))).otherwise(F.lit(1.0))
-    own = sums.select("host", "nodes", "m", "n1", spread("n1", "e1").alias("content_imp"), F.when(F.col("n2") > 0, spread("n2", "e2")).alias("shape_imp"))
+    # written once: pages are read for statistics a single time
+    own = cut(sums.select("host", "nodes", "m", "n1", spread("n1", "e1").alias("content_imp"), F.when(F.col("n2") > 0, spread("n2", "e2")).alias("shape_imp")), "nodes")
     # every branch gathers the content below it
     below = own.select("host", F.explode("nodes").alias("node"), "n1", (F.col("n1") * F.col("content_imp")).alias("w"))
     below = below.groupBy("host", "node").agg(F.sum("n1").alias("n"), F.sum("w").alias("w"))
     at = own.select("host", F.element_at("nodes", -1).alias("node"), "m", "shape_imp").groupBy("host", "node").agg(F.max("m").alias("m"), F.max("shape_imp").alias("shape_imp"))
     mean = F.when(F.col("n") > 0, F.col("w") / F.col("n")).otherwise(F.lit(1.0))
     whole = below.join(at, ["host", "node"]).withColumn("importance", F.when(F.col("shape_imp").isNull(), mean).otherwise(GAMMA * mean + (1 - GAMMA) * F.col("shape_imp")))
-    return whole.where((F.col("m") >= MIN_PAGES) & (F.col("importance") < LEAST)).select("host", "node", "importance")
+    return whole.select("host", "node", "m", "importance")
+
+
+def low_nodes(pages: DataFrame) -> DataFrame:
+    """(host, node) of the branches whose importance is too low."""
+    return node_importance(pages).where((F.col("m") >= MIN_PAGES) & (F.col("importance") < LEAST)).select("host", "node", "importance")
 
 
 def extract(pages: DataFrame) -> DataFrame:
