@@ -42,7 +42,7 @@ from tessera.llm.shingles import MinMax, mix
 from tessera.llm.words import slices
 from tessera.session import cut, discard, ship
 
-PERMUTATIONS, BANDS, ROWS, BLOCK = 90, 30, 6, 1024
+PERMUTATIONS, BANDS, ROWS, BLOCK = 90, 30, 6, 512
 SLOTS = 1 << 20
 SAFE, HOT_PARTS, HOT_LEAST = 0.15, 4096, 256
 
@@ -249,7 +249,7 @@ def near_classes(docs: DataFrame, words: int = 5, percent: int = 80, signer=Sign
 
     likely = percent / 100 - 0.03
     first = confirm(docs, _pairs(_groups(members.select("key", "node", "c", "short"), True), lambda t, lo, hi: _leaders(t, likely)), words, percent, lower)
-    comp = cut(components(first).withColumnRenamed("component", "comp"), "comp")
+    early = comp = cut(components(first).withColumnRenamed("component", "comp"), "comp")
     placed = members.select("key", "node", "c").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
     still = cut(placed.join(open_keys, "key", "left_semi"), "open")
@@ -261,10 +261,11 @@ def near_classes(docs: DataFrame, words: int = 5, percent: int = 80, signer=Sign
     second = _pairs(_groups(still.select("key", "node", "c", "comp").join(sets, "node"), False), lambda t, lo, hi: _joins(t, percent, lo, hi))
     # what the first round joined stays joined: its stars go into the last graph
     comp = cut(components(second.unionByName(comp.select(F.col("node").alias("u"), F.col("comp").alias("v")))).withColumnRenamed("component", "comp"), "comp")
-    for done in (sets, members, copies, chosen):
-        discard(done)
 
     ends = tied.select("doc_id", "n", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     linked = ends.select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
     alone = signed.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = cut(linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "classes")
+    for done in (signed, copies, tied, members, first, early, still, chosen, sets, comp):
+        discard(done)
+    return out
