@@ -1,13 +1,19 @@
 """Token counts without ids (op9).
 
-In each Arrow batch texts become pre-token frequencies; pieces are counted
-once per distinct pre-token (kept per worker process, bounded), joined to the
-frequencies of each document by pre-token, and summed. A pre-token is a run of
-the model's space marks with the run of other characters after it: no piece of
-the vocabulary holds a mark after another character (checked when the model is
-loaded), so pieces never cross from one pre-token to the next. The join runs
-inside the batch: a shuffle of (pre-token, document) rows would move several
-times the input for the same sums.
+1. Documents go through in slices of SLICE bytes. A slice has its distinct
+   pre-tokens, numbered, and for each document the numbers with their
+   frequencies. A pre-token is a run of the model's space marks with the run of
+   other characters after it: no piece of the vocabulary holds a mark after
+   another character (checked when the model is loaded), so pieces never cross
+   from one pre-token to the next.
+2. The distinct pre-tokens of all slices meet in one shuffle by pre-token,
+   sorted, and the library counts the pieces of each distinct one once.
+3. Counts join the frequencies by slice and number, and are summed by document.
+
+Per slice a pre-token travels once, however often it occurs, so common ones are
+no hot keys; frequencies travel packed. Slices are made twice from the same
+rows, once for each side of the join; their key is a hash of their pre-tokens,
+and rows that came out differently the second time raise an error.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; doc_id may be
 null or repeated, each row gets its own result; other columns are ignored.
@@ -25,7 +31,7 @@ from tessera.llm.words import Held, numbered, raw, slices, strings
 from tessera.session import ship
 
 DEFAULT_FILE = "piece_bpe_32k.model"
-LIMIT = 4096
+LIMIT, SLICE = 4096, 8 << 20
 MARK = "▁".encode()
 _INSTANCES: dict[str, PieceCounter] = {}
 
@@ -60,13 +66,6 @@ class PieceCounter:
             self.counts.keep(pretokens[k], out[k])
         return np.array(out, np.int64)
 
-    def count(self, column: pa.Array) -> np.ndarray:
-        """The number of tokens of each text of a column."""
-        items, at = pretokens(column)
-        numbers, distinct = numbered(items)
-        total = np.concatenate([[0], np.cumsum(self.pieces(distinct)[numbers])]) if len(distinct) else np.zeros(1, np.int64)
-        return np.diff(total[at])
-
 
 def pretokens(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """(pre-tokens of all texts, each without the mark that it begins with;
@@ -83,11 +82,45 @@ def pretokens(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     begins = space.copy()  # the first space of a run begins a pre-token and is its mark; a text's start has a mark of its own
     begins[1:] &= ~space[:-1] | first[1:]
     begins[first] = False
-    kept = ~begins
-    start = np.flatnonzero(begins | first)
-    at = np.concatenate([[0], np.cumsum(kept)])
-    counted = np.concatenate([[0], np.cumsum(begins | first)])
-    return strings(data[kept], np.concatenate([at[start], at[-1:]])), counted[offsets]
+    event = np.flatnonzero(begins | first)
+    own = begins[event]
+    start = event + own - np.cumsum(own)  # among the bytes that stay
+    size = n - int(np.count_nonzero(begins))
+    return strings(data[~begins], np.append(start, size)), np.searchsorted(event, offsets)
+
+
+class Slice:
+    """Distinct pre-tokens of some texts, and their frequencies by text."""
+
+    def __init__(self, column: pa.Array):
+        import xxhash
+
+        items, at = pretokens(column)
+        found = items.dictionary_encode()
+        self.words, numbers = found.dictionary, found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        data, offsets = raw(self.words)
+        self.key = xxhash.xxh3_64_intdigest(data.tobytes() + offsets.tobytes()) - (1 << 63)
+        self.texts, self.n_bytes = len(column), np.diff(raw(column)[1])
+        text = np.repeat(np.arange(len(column)), np.diff(at))
+        pairs, self.times = np.unique(text * len(self.words) + numbers, return_counts=True)
+        self.numbers = pairs % max(len(self.words), 1)
+        self.sizes = np.bincount(pairs // max(len(self.words), 1), minlength=len(column)) if len(column) else np.zeros(0, np.int64)
+
+    def packed(self) -> bytes:
+        """Steps between a text's numbers, and frequencies, by bytes of equal
+        weight, compressed."""
+        import zstandard
+
+        steps = np.diff(self.numbers, prepend=0)  # from one text to the next a step may go back
+        return zstandard.ZstdCompressor(1).compress(b"".join(x.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in (steps, self.times)))
+
+
+def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    import zstandard
+
+    both = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(2, 4, -1)
+    steps, times = (x.T.copy().view("<i4")[:, 0].astype(np.int64) for x in both)
+    return np.cumsum(steps), times
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
@@ -96,16 +129,59 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
 
     path = path or public_tokenizers.path(DEFAULT_FILE)
     ship(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tessera.llm.token_counts import Slice
+
+        for b in slices(batches, most=SLICE):
+            one = Slice(b.column("text"))
+            n = len(one.words)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, one.key)), pa.array(np.arange(n), pa.int32()), one.words.view(pa.binary())], names=["key", "number", "word"])
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tessera.llm.token_counts import Slice
+
+        for b in slices(batches, most=SLICE):
+            if b.num_rows:
+                one = Slice(b.column("text"))
+                row = {"key": one.key, "words": len(one.words), "n_bytes": one.n_bytes.tolist(), "sizes": one.sizes.tolist(), "packed": one.packed()}
+                arrays = [pa.array([row[c]], t) for c, t in (("key", pa.int64()), ("words", pa.int64()), ("n_bytes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("packed", pa.binary()))]
+                ids = b.column("doc_id")
+                yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)], names=[*row, "doc_ids"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tessera.llm.token_counts import PieceCounter
 
         counter = PieceCounter.of(path)
-        for b in slices(batches):
-            n = counter.count(b.column("text"))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(np.diff(raw(b.column("text"))[1])), pa.array(n), pa.array(n > limit)],
-                names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+        for b in batches:
+            numbers, words = numbered(b.column("word"))
+            n = counter.pieces(words)[numbers] if words else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("number"), pa.array(n, pa.int32())], names=["key", "number", "n"])
+
+    def add(counts: pa.Table, freqs: pa.Table) -> pa.Table:
+        from tessera.llm.token_counts import _unpacked
+
+        out: list[pa.Table] = []
+        number, n = counts.column("number").to_numpy(), counts.column("n").to_numpy().astype(np.int64)
+        for row in range(freqs.num_rows):
+            size = freqs.column("words")[row].as_py()
+            known = np.full(size, -1, np.int64)
+            known[number] = n
+            if (known < 0).any():
+                raise RuntimeError("documents changed between two readings; write them to a table first")
+            sizes = freqs.column("sizes")[row].values.to_numpy()
+            numbers, times = _unpacked(freqs.column("packed")[row].as_py())
+            total = np.concatenate([[0], np.cumsum(known[numbers] * times)]) if size else np.zeros(1, np.int64)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            tokens = total[ends[1:]] - total[ends[:-1]]
+            out.append(pa.table({"doc_id": freqs.column("doc_ids")[row].values, "n_bytes": freqs.column("n_bytes")[row].values, "n_tokens": pa.array(tokens), "over_limit": pa.array(tokens > limit)}))
+        if counts.num_rows and not out:
+            raise RuntimeError("documents changed between two readings; write them to a table first")
+        return pa.concat_tables(out)
+
+    words = docs.mapInArrow(distinct, "key long, number int, word binary")
+    counts = words.repartition("word").sortWithinPartitions("word").mapInArrow(pieces, "key long, number int, n int")
+    freqs = docs.mapInArrow(frequencies, f"key long, words long, n_bytes array<long>, sizes array<long>, packed binary, doc_ids array<{kind}>")
+    return counts.groupBy("key").cogroup(freqs.groupBy("key")).applyInArrow(add, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
