@@ -134,7 +134,7 @@ def test_permutation_is_a_bijection(spark):
 def test_mix_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, source string, text string")
     assert mixing.mix(df).count() == 0
-    assert [tuple(r) for r in mixing.mix(spark.createDataFrame([(1, "a", "")], df.schema)).collect()] == [(1, 0, 0, 0.0, 0)]
+    assert [tuple(r) for r in mixing.mix(spark.createDataFrame([(1, "a", "")], df.schema)).collect()] == [(1, 0, 0, 0.0, 0, None, None)]
 
 
 @pytest.mark.parametrize("block", [3, 50, 10_000])
@@ -199,6 +199,68 @@ def shingle_set(t):
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
 
 
+def test_near_groups_by_the_fingerprint_s_own_bands(spark):
+    rows = [(k, t) for k, t in near_corpus(5) if t is None or t == t.lower()]
+    extra = [(None, "one two", 7), (rows[0][0], rows[0][1], 7)]
+    df = spark.createDataFrame([(k, t, 7) for k, t in rows] + extra, "doc_id long, text string, bands int")
+    out = fingerprints.near_groups(df).collect()
+    assert len(out) == len(rows) + 2
+    assert {r["doc_id"]: r["component_id"] for r in out if r["doc_id"] is not None} == classes(rows, 5, 80)
+    assert fingerprints.near_groups(df.limit(0)).count() == 0
+
+
+def test_likeness_of_each_row_against_exact_jaccard(spark):
+    rows = [(k, t) for k, t in near_corpus(6) if t and len(t.split()) > 30]
+    out = fingerprints.compare_next(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()
+    text, order = dict(rows), sorted(dict(rows), reverse=True)
+    following = dict(zip(order, order[1:] + order[:1], strict=True))
+    jaccard = lambda a, b: len(shingle_set(a) & shingle_set(b)) / len(shingle_set(a) | shingle_set(b))
+    for r in out:
+        assert abs(r["near_edited"] - jaccard(text[r["doc_id"]], r["edited_text"])) < 0.2
+        assert abs(r["near_next"] - jaccard(text[r["doc_id"]], text[following[r["doc_id"]]])) < 0.2
+
+
+def test_many_rows_without_an_id_fill_several_ranges(spark):
+    df = spark.createDataFrame([(None, f"t{k}") for k in range(300)] + [(1, "x")], "doc_id long, text string")
+    assert fingerprints._ranged(df).where("not copy").select("range").distinct().count() > 2
+    assert fingerprints.compare_next(df).count() == 301
+
+
+def test_hot_sets_are_met_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(minmax_dedup, "HOT_LEAST", 2)
+    rows = [(k, "same words here and now") for k in range(20)] + [(k, f"other words {k // 2} here to stay") for k in range(20, 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in minmax_dedup.near_classes(df, 3, 85).collect()} == classes(rows, 3, 85)
+
+
+def test_shards_take_the_slots_that_were_drawn_for_them(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 4)
+    monkeypatch.setattr(mixing, "RUN", 16)
+    rows = [(k, "abc"[k % 3] if k % 5 else None, "w " * (k * 53 % 900)) for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    sized = mixing.place(df)
+    placed, sources, slots = mixing.plan(sized)
+    counts = {(r["number"], r["shard"]): r["count"] for r in mixing.shard_counts(sources.where("want > 0"), 4).collect()}
+    total = {r["number"]: (r["slots"], r["shards"], r["want"]) for r in sources.collect()}
+    for n, (size, shards, _) in total.items():
+        mine = [c for (m, _), c in counts.items() if m == n]
+        assert sum(mine) == size and len(mine) <= shards and shards > 5
+        assert max(mine) < size / shards + 6 * (size / shards) ** 0.5 + 3
+    got = {}
+    for r in slots.collect():
+        got.setdefault((r["number"], r["shard"]), set()).add(r["slot"])
+    # all but slots past the target are there, and each shard's are consecutive
+    assert all(len(s) <= counts[k] and max(s) - min(s) == len(s) - 1 for k, s in got.items())
+    words = {}
+    for r in mixing.mixed_blocks(df).collect():
+        words[r["number"]] = words.get(r["number"], 0) + r["n"]
+        assert 0 <= r["place"] < mixing.BLOCK and r["place"] + r["n"] <= mixing.BLOCK
+        assert r["slot"] in got[r["number"], r["shard"]]
+    assert words == {n: w for n, (_, _, w) in total.items()}
+    spread = mixing.mix(df).where("first_shard < last_shard").count()
+    assert spread > 0
+
+
 def test_pipeline_stages(spark):
     import os
 
@@ -208,13 +270,34 @@ def test_pipeline_stages(spark):
     if not os.path.isdir(d):
         pytest.skip("no test data")
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    extra = spark.createDataFrame([(9001, None, None, None, 0), (9002, "12 34 !!", "en", "src0", 8)], docs.schema)
+    rng = np.random.default_rng(9)
+    noise = " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(n))) for n in rng.integers(2, 9, 60))
+    finnish = "Suomen kieli on uralilainen kieli, jota puhutaan pääasiassa Suomessa. Se on toinen maan virallisista kielistä."
+    extra = spark.createDataFrame([(9001, None, None, None, 0), (9002, "12 34 !!", "en", "src0", 8), (9003, noise, None, "src0", 8), (9004, finnish, None, "src0", 8)], docs.schema)
     stages = dict(corpus_pipeline.STAGES)
     kept = stages["language"](spark, docs.unionByName(extra), d)
-    assert kept.count() == docs.count() and kept.columns == list(corpus_pipeline.COLUMNS)
+    assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()}
+    assert kept.columns == list(corpus_pipeline.COLUMNS) and kept.count() == docs.count()
     one = stages["near_duplicates"](spark, docs, d)
     want = classes([(r["doc_id"], r["text"]) for r in docs.collect()], 5, 80)
     assert {r["doc_id"] for r in one.select("doc_id").collect()} == set(want.values())
     clean = stages["toxicity"](spark, docs, d)
     assert 0.5 * docs.count() < clean.count() <= docs.count()
     assert stages["packing"](spark, docs.limit(20), d).count() >= 20
+
+
+def test_pipeline_keeps_different_texts_of_one_id(spark):
+    import corpus_pipeline
+
+    rows = [(1, "one text of some words here", "en", "s", 5, 0), (1, "another text that has other words", "en", "s", 5, 0), (1, "one text of some words here", "en", "s", 5, 0), (2, "one text of some words here", "en", "s", 5, 0), (None, "no id", "en", None, 5, 0), (3, None, None, None, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, component_id int")
+    one = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "")
+    assert sorted(map(str, one.select("doc_id", "text").collect())) == sorted(map(str, docs.where("doc_id is null or doc_id = 1 or doc_id = 3").select("doc_id", "text").distinct().collect()))
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

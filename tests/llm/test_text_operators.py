@@ -92,6 +92,49 @@ def test_out_of_place_distance_by_hand():
     assert m.place.shape == (2, 5) and m.langs == ["x", "y"]
 
 
+def _brute_ranks(text, size):
+    """A text's n-grams by falling count, ties by code points, in plain loops."""
+    words, counts = "".join(c if c.isalpha() else " " for c in text.lower()).split(), {}
+    for w in words:
+        w = f"_{w}_"
+        for n in (1, 2, 3):
+            for k in range(len(w) - n + 1):
+                g = w[k : k + n]
+                if g != "_" and not (n == 3 and g[1] == "_"):
+                    counts[g] = counts.get(g, 0) + 1
+    for x, y in zip(words, words[1:], strict=False):
+        assert x and y
+    key = lambda g: sum((1 if c == "_" else ord(c) + 1) << 21 * (len(g) - 1 - k) for k, c in enumerate(g))
+    return [key(g) for g in sorted(counts, key=lambda g: (-counts[g], key(g)))][:size]
+
+
+def test_predictions_equal_brute_force_distances(spark):
+    rows, size = _corpus(90, 3), 40
+    texts = [t for _, t, _, _ in rows] + ["Ünlü şeyler 123 of-the", "x", "\U00030000\U00030001 \U0002ebf0"]
+    profiles = {}
+    for lang in WORDS:
+        profiles[lang] = _brute_ranks(" ".join(t for _, t, x, _ in rows if x == lang), size)
+    learned = language_id.learn(spark.createDataFrame([(t, x) for _, t, x, _ in rows], "text string, lang string"), size)
+    assert {k: v.tolist() for k, v in learned.items()} == profiles
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in language_id.predict(docs, learned, size).collect()}
+    for k, t in enumerate(texts):
+        own = _brute_ranks(t, size)
+        away = {lang: sum(abs(p.index(g) - r) if g in p else size for r, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sorted(away), key=away.get)
+        assert got[k]["lang_pred"] == best and abs(got[k]["lang_score"] - (1 - away[best] / (size * len(own)))) < 1e-12
+
+
+def test_long_texts_count_as_one_piece(monkeypatch):
+    rng = np.random.default_rng(1)
+    text = "".join(rng.choice(list("ab cdé  .İ"), 3000))
+    whole = language_id.ngrams(text)
+    for size in (1, 2, 3, 7, 100, 2999):
+        monkeypatch.setattr(language_id, "_CHUNK", size)
+        got = language_id.ngrams(text)
+        assert got[0].tolist() == whole[0].tolist() and got[1].tolist() == whole[1].tolist()
+
+
 def test_toxicity_learns_and_keeps_rules(spark):
     rows = _corpus(900, 1)
     extra = [(2001, None, "en", 0), (2002, "", "en", 0), (2003, "the of " * 40_000 + "idiotic idiotic idiotic", "en", 0), (5, rows[5][1], "fr", 0)]
@@ -117,3 +160,61 @@ def test_segments_of_long_texts_change_nothing():
         assert np.allclose(net.features(words), whole)
     finally:
         toxicity._SEGMENT = old
+
+
+def test_pooled_features_and_scores_equal_plain_loops():
+    net = toxicity.Net(3)
+    texts = ["you idiotic THE-the x", "one", "", "Ärger über \u0130stanbul " * 9]
+    for t, word in zip(texts, toxicity.words_of(pa.array(texts)), strict=True):
+        words = "".join(c if ord(c) >= 128 or c.isalpha() else " " for c in t.lower()).split()
+        assert len(words) == len(word)
+        x = [net.embed[w].sum(0) for w in word] + [np.zeros(toxicity.DIM, np.float32)] * 2
+        pooled = []
+        for c in net.conv:
+            for f in range(toxicity.FILTERS):
+                pooled.append(max((sum(float(x[at + j] @ c[j][:, f]) for j in range(len(c))) for at in range(len(word))), default=-np.inf))
+        assert np.allclose(net.features(word), pooled, atol=1e-4)
+        if words:
+            z = sum(max(p + b, 0) * o for p, b, o in zip(pooled, net.bias, net.out, strict=True)) + net.last
+            assert abs(net.probability(word) - 1 / (1 + np.exp(-z))) < 1e-4
+    same = toxicity.words_of(pa.array(["abcdX abcdY", "abcdx"]))
+    assert same[0][0, 2] == same[0][1, 2] and (same[0][0] == same[1][0]).all()
+
+
+def test_importance_equals_brute_force_entropy(spark):
+    import math
+
+    rng = np.random.default_rng(2)
+    page = lambda k: "<body><div class='a b c d e f'>" + "".join(f"<p>{rng.integers(0, 6)}</p>" for _ in range(int(rng.integers(1, 4)))) + f"</div><article><h1>t{k}</h1><p>same</p></article></body>"
+    html = [page(k) for k in range(20)]
+    rows = [(k, f"http://h.org/{k}", h) for k, h in enumerate(html)]
+    got = {r["node"]: (r["m"], r["importance"]) for r in html_text.node_importance(html_text._host(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()}
+    pages = [Page(h) for h in html]
+    nodes = {n for p in pages for _, ns, *_ in p.blocks for n in ns[1:]}
+    for node in nodes:
+        own = lambda kind, node=node: [{x for x, at in ([(t, ns[-1]) for t, ns, *_ in p.blocks] if kind == 1 else [(s, n) for n, _, s in p.shapes]) if at == node} for p in pages]  # noqa: E731, B023
+        m = sum(any(node == ns[-1] for _, ns, *_ in p.blocks) or any(n == node for n, *_ in p.shapes) for p in pages)
+
+        def spread(sets, m):
+            # each content's entropy over the pages that have it, to the base m; the mean over occurrences
+            n = {x: sum(x in s for s in sets) for s in sets for x in s}
+            return 1 - sum(k * math.log(k) / math.log(m) for k in n.values()) / sum(n.values()) if n and m > 1 else 1.0
+
+        below, weight = 0.0, 0
+        for leaf in nodes:
+            sets = [{t for t, ns, *_ in p.blocks if ns[-1] == leaf and node in ns} for p in pages]
+            size = sum(map(len, sets))
+            pages_of = sum(any(leaf == ns[-1] for _, ns, *_ in p.blocks) or any(n == leaf for n, *_ in p.shapes) for p in pages)
+            below, weight = below + size * spread(sets, pages_of) if size else below, weight + size
+        mean = below / weight if weight else 1.0
+        shapes = own(2)
+        want = html_text.GAMMA * mean + (1 - html_text.GAMMA) * spread(shapes, m) if any(shapes) else mean
+        assert got[node][0] == m and abs(got[node][1] - want) < 1e-9
+
+
+def test_low_nodes_by_join_as_by_broadcast(spark, monkeypatch):
+    rows = [(k, f"http://h.org/{k}", f"<body><div class=x>Same words</div><div class=y>text {k}</div></body>") for k in range(30)] + [(99, None, "<p>alone</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(map(tuple, html_text.extract(df).collect()), key=str)
+    monkeypatch.setattr(html_text, "BROADCAST_NODES", 0)
+    assert sorted(map(tuple, html_text.extract(df).collect()), key=str) == want and want[3][2].startswith("text")

@@ -81,6 +81,14 @@ def test_piece_counts_equal_the_library(spark, docs):
     assert token_counts.count_tokens(docs.limit(0)).count() == 0
 
 
+def test_counts_hold_over_many_slices(spark, docs, monkeypatch):
+    want = sorted(map(str, token_counts.count_tokens(docs).collect()))
+    monkeypatch.setattr(token_counts, "SLICE", 20)
+    assert sorted(map(str, token_counts.count_tokens(docs.repartition(3, "doc_id")).collect())) == want
+    doubled = token_counts.count_tokens(docs.unionByName(docs).repartition(5, "doc_id", "text")).collect()
+    assert sorted(map(str, doubled)) == sorted(want * 2)
+
+
 def test_code_lengths_are_optimal_and_limited():
     rng = np.random.default_rng(0)
     counts = np.zeros(1 << 16, np.int64)
