@@ -12,21 +12,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import language_id, minmax_dedup, mixing, packing, toxicity
-from tessera.session import shared_dir
+from tessera.session import cut, drop_path, shared_dir
 from tessera.sources.tables import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A document less like its nearest profile than this has no known language.
-LEAST_LIKENESS = 0.05
+#: A document has no known language if it is less like its nearest profile than
+#: this share of the median over the documents nearest to that profile.
+LEAST_SHARE = 0.5
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: texts without letters go, and those that
-    hardly share an n-gram with any profile. A null lang becomes the one
-    found."""
+    """Documents with a language. Texts without letters go, and those far less
+    like their nearest profile than its documents usually are: noise, and
+    languages that no profile is of. The medians are over all rows. A null lang
+    becomes the one found; a given one stays."""
     docs = docs.select(*COLUMNS)
-    found = language_id.predict(docs, language_id.learn(docs), keep=COLUMNS)
-    kept = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("lang_score") >= LEAST_LIKENESS))
+    found = cut(language_id.predict(docs, language_id.learn(docs), keep=COLUMNS).where(F.col("lang_pred") != language_id.UNKNOWN), "found")
+    usual = found.groupBy("lang_pred").agg(F.percentile_approx("lang_score", 0.5, 1000).alias("usual"))  # one row a profile
+    kept = found.join(F.broadcast(usual), "lang_pred").where(F.col("lang_score") >= F.lit(LEAST_SHARE) * F.col("usual"))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
@@ -74,10 +77,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents. What a stage wrote goes once the next one has
+    written its own."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = shared_dir(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            drop_path(spark, before)
+        before = path
     return docs
