@@ -34,6 +34,11 @@ def keep_fields(c: Column, fields: list[int], sep: str = " ", complement: bool =
     return F.array_join(F.transform(keep, lambda s: s["x"]), sep)
 
 
+def from_char(c: Column, k: int) -> Column:
+    """A line from its k-th character on."""
+    return F.substring(c, k, 2147483647)
+
+
 def chain(c: Column, rules: list[tuple[str, str]]) -> Column:
     """Ordered global replacements: (pattern, replacement)."""
     for pattern, to in rules:

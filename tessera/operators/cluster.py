@@ -170,6 +170,16 @@ def overall_summary(assigned: DataFrame, dims: int) -> DataFrame:
     return assigned.crossJoin(F.broadcast(grand)).agg(F.avg(to).alias("to_mean"), F.avg(d).alias("to_centre"), (F.sum(w * d) / F.sum(w)).alias("weighted"), F.max(d).alias("furthest"))
 
 
+def sums_of_squares(assigned: DataFrame, dims: int) -> DataFrame:
+    """One row: squares about the grand mean (totss), about the own cluster's
+    mean (withinss) and the rest (betweenss) of rows (x, cluster)."""
+    long = assigned.select("cluster", F.posexplode("x").alias("d", "v")).where(F.col("d") < dims)
+    sums = long.groupBy("cluster", "d").agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
+    by = sums.groupBy("d").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("q") - F.col("s") * F.col("s") / F.col("n")).alias("within"))
+    out = by.agg(F.sum(F.col("q") - F.col("s") * F.col("s") / F.col("n")).alias("totss"), F.sum("within").alias("withinss"))
+    return out.withColumn("betweenss", F.col("totss") - F.col("withinss"))
+
+
 def rare_cases(assigned: DataFrame) -> DataFrame:
     """(cluster, w, n): rows of weight 1 and 2, most first."""
     return assigned.where(F.col("w").isin(1, 2)).groupBy("cluster", "w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "cluster", "w")

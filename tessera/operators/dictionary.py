@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.vocab import OOV
@@ -48,11 +48,22 @@ def missing(vocab: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 
 def missing_sample(vocab: DataFrame, dictionary: DataFrame, every: int = 128) -> DataFrame:
-    """Every 128th missing type, in order."""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.orderBy("type"))
-    return missing(vocab, dictionary).withColumn("n", n).where((F.col("n") - 1) % every == 0).select("type")
+    """Every 128th missing type, in order. Places are running totals over first
+    letters and a number inside each, so no task sorts all types."""
+    gone = missing(vocab, dictionary).withColumn("_h", F.substring("type", 1, 2))
+    sizes = gone.groupBy("_h").agg(F.count("*").alias("_n"))
+    sizes = sizes.select("_h", (F.sum("_n").over(Window.orderBy("_h")) - F.col("_n")).alias("_b"))
+    inside = F.row_number().over(Window.partitionBy("_h").orderBy("type"))
+    return gone.withColumn("_i", inside).join(sizes, "_h").where((F.col("_b") + F.col("_i") - 1) % every == 0).select("type")
+
+
+def train_vectors(arrays: DataFrame, dims: int = 100, min_count: int = 5, window: int = 5, rounds: int = 1, seed: int = 1) -> DataFrame:
+    """(type, vec): skip-gram word vectors of arrays(toks), by MLlib."""
+    from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
+
+    model = Word2Vec(vectorSize=dims, minCount=min_count, windowSize=window, maxIter=rounds, seed=seed, inputCol="toks", outputCol="out").fit(arrays)
+    return model.getVectors().select(F.col("word").alias("type"), vector_to_array("vector").alias("vec"))
 
 
 def centroids(tokens: DataFrame, dictionary: DataFrame, dims: int) -> DataFrame:

@@ -113,3 +113,26 @@ def log_ratios(shares: DataFrame, other: str = "other", floor: float = 1e-4) ->
     """(grp, type, v): ln(max(p, floor) / p of `other`) within each group."""
     base = shares.where(F.col("type") == other).select("grp", F.greatest(F.col("p"), F.lit(floor)).alias("base"))
     return shares.where(F.col("type") != other).join(base, "grp").select("grp", "type", F.log(F.greatest(F.col("p"), F.lit(floor)) / F.col("base")).alias("v"))
+
+
+def first_rows(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """The n rows of smallest key."""
+    return rows.orderBy(key).limit(n)
+
+
+def last_rows(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """The n rows of largest key."""
+    return rows.orderBy(F.desc(key)).limit(n)
+
+
+def head_tail_split(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """rows with `train`: whether the (distinct) key is among the n smallest.
+    Only the n-th key comes to the driver; the rows are not sorted whole."""
+    last = rows.select(key).orderBy(key).limit(n).agg(F.max(key)).first()[0]
+    return rows.withColumn("train", F.lit(False) if last is None else F.col(key) <= F.lit(last))
+
+
+def match_counts(words: DataFrame, types: DataFrame) -> DataFrame:
+    """(type, n): how many rows of words(word) equal each type, 0 included."""
+    n = words.groupBy(F.col("word").alias("type")).agg(F.count("*").alias("n"))
+    return types.select("type").distinct().join(n, "type", "left").select("type", F.coalesce("n", F.lit(0)).alias("n"))

@@ -105,8 +105,23 @@ def with_outlier(docs: DataFrame, word: str, times: int, doc_id: int = -1) -> Da
     return docs.unionByName(docs.sparkSession.createDataFrame([(doc_id, " ".join([word] * times))], "doc_id long, text string"))
 
 
-def dither(rows: DataFrame, column: str, sd: float, seed: int = 1) -> DataFrame:
-    return rows.withColumn(column, F.col(column) + F.randn(seed) * sd)
+def dither(rows: DataFrame, column: str, sd: float, seed: int = 1, key: str = "doc_id") -> DataFrame:
+    """rows with normal noise on a column: a function of key and seed alone."""
+    unit = lambda k: (F.pmod(F.xxhash64(key, F.lit(seed), F.lit(k)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return rows.withColumn(column, F.col(column) + F.lit(sd) * F.sqrt(-2 * F.log(unit(0))) * F.cos(2 * 3.141592653589793 * unit(1)))
+
+
+def topics_used(docs: DataFrame) -> DataFrame:
+    """docs(z) with n_topics, the topics that have words in a document."""
+    return docs.withColumn("n_topics", F.size(F.filter("z", lambda n: n > 0)))
+
+
+def toy_pairs(spark: SparkSession, n: int, types: int, seed: int = 1) -> DataFrame:
+    """(doc_id, a, b): one-hot arrays of neighbouring tokens of a uniform
+    corpus, on which canonical correlations and the scaled bigram SVD agree."""
+    draw = lambda k: F.pmod(F.xxhash64(F.col("id") + k, F.lit(seed)), F.lit(types))
+    hot = lambda t: F.transform(F.sequence(F.lit(0), F.lit(types - 1)), lambda j: F.when(j == t, 1.0).otherwise(0.0))
+    return spark.range(n).select(F.col("id").alias("doc_id"), hot(draw(0)).alias("a"), hot(draw(1)).alias("b"))
 
 
 def lines(docs: DataFrame) -> DataFrame:

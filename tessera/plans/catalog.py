@@ -159,8 +159,7 @@ def dtm_entropy_weighted(spark, sf_dir):
 @query("top_tfidf", f"WITH {DTM}, {ROWS}, s AS (SELECT idx, round(sum(n * ln((SELECT count(DISTINCT doc_id) FROM dtm)::DOUBLE / df)), 6) AS score FROM dtm JOIN f USING (idx) GROUP BY idx) SELECT idx, score FROM s ORDER BY score DESC, idx LIMIT 500")
 def top_tfidf(spark, sf_dir):
     dtm = cut(_dtm(spark, sf_dir), "dtm")
-    score = N.scale_documents(dtm, "t").groupBy("idx").agg(_r(F.sum("v")).alias("score"))
-    return score.orderBy(F.desc("score"), "idx").limit(500)
+    return N.top_by_tfidf(dtm, 500).select("idx", _r("score").alias("score"))
 
 
 @query("top_tfidf_all")
@@ -371,10 +370,10 @@ def _dictionary(spark, sf_dir):
     return e.where("vec_id % 3 <> 0").select(F.col("vec_id").alias("line_no"), name, F.col("embedding").alias("vec")), e.where("vec_id % 2 = 0").select(name)
 
 
-@query("dict_semi", f"WITH {EMB} SELECT type, round(vec[1]::DOUBLE, 6) AS x FROM dict WHERE type IN (SELECT type FROM want)")
+@query("dict_semi", f"WITH {EMB} SELECT type, round(vec[1]::DOUBLE, 6) AS x FROM dict WHERE type IN (SELECT type FROM want) AND type <> (SELECT 'w' || min(vec_id) FROM embeddings WHERE vec_id % 3 <> 0)")
 def dict_semi(spark, sf_dir):
     d, want = _dictionary(spark, sf_dir)
-    return d.join(want, "type", "left_semi").select("type", _r(F.col("vec")[0].cast("double")).alias("x"))
+    return D.restrict(d, want).where(~F.col("type").isin("OOV", "NA")).select("type", _r(F.col("vec")[0].cast("double")).alias("x"))
 
 
 @query("dict_missing", f"WITH {EMB} SELECT type FROM want WHERE type NOT IN (SELECT type FROM dict)")
@@ -389,10 +388,13 @@ def dict_lookup_default(spark, sf_dir):
     return D.lookup(want, d.select("type", F.col("vec").cast("array<double>").alias("vec")), 64).select("type", _r(F.col("vec")[0]).alias("x"), F.size("vec").alias("dims"))
 
 
-@query("dict_last_wins", "SELECT * FROM (VALUES ('OOV', 9.0::DOUBLE, 9.0::DOUBLE), ('the', 2.0, 2.0), ('NA', 'nan'::DOUBLE, 'nan'::DOUBLE)) t(type, x, y)")
+@query("dict_last_wins", "WITH d AS (SELECT vec_id AS line_no, 'w' || vec_id % 60 AS type, embedding AS vec FROM embeddings), l AS (SELECT type, arg_max(vec, line_no) AS vec FROM d WHERE line_no > (SELECT min(line_no) FROM d) GROUP BY 1) SELECT type, round(vec[1]::DOUBLE, 6) AS x, round(vec[2]::DOUBLE, 6) AS y FROM l WHERE substr(type, 2)::INT % 2 = 0 UNION ALL SELECT 'OOV', round(arg_min(vec, line_no)[1]::DOUBLE, 6), round(arg_min(vec, line_no)[2]::DOUBLE, 6) FROM d UNION ALL SELECT 'NA', 'nan'::DOUBLE, 'nan'::DOUBLE")
 def dict_last_wins(spark, sf_dir):
-    rows = spark.createDataFrame([(0, "UNK", [9.0, 9.0]), (1, "the", [1.0, 1.0]), (2, "zzz", [5.0, 5.0]), (3, "the", [2.0, 2.0])], "line_no long, type string, vec array<double>")
-    return D.restrict(rows, spark.createDataFrame([("the",), ("cat",)], "type string"), 2).select("type", F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y"))
+    name = lambda c: F.concat(F.lit("w"), (F.col(c) % 60).cast("string")).alias("type")
+    e = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    rows = e.select(F.col("vec_id").alias("line_no"), name("vec_id"), F.col("embedding").cast("array<double>").alias("vec"))
+    want = spark.range(0, 60, 2).select(name("id"))
+    return D.restrict(rows, want, 2).select("type", _r(F.col("vec")[0]).alias("x"), _r(F.col("vec")[1]).alias("y"))
 
 
 @query(
@@ -535,8 +537,9 @@ def kmeans_assign(spark, sf_dir):
 @query("kmeans_one_step", f"WITH {KM}, e AS (SELECT cluster, unnest(range(1, 65)) AS k, unnest(x) AS v FROM near JOIN p USING (id)) SELECT cluster, (k - 1)::INT AS d, round(avg(v), 6) AS v FROM e GROUP BY 1, 2")
 def kmeans_one_step(spark, sf_dir):
     pts, centres = _start(spark, sf_dir)
-    near = C.assign(pts.select("id", "x"), centres)
-    return near.select("cluster", F.posexplode("x").alias("d", "v")).groupBy("cluster", "d").agg(_r(F.avg("v")).alias("v"))
+    sums, weights = C.centre_sums(pts.select("x", F.lit(1.0).alias("w")), centres)
+    rows = [(k, d, float(sums[k, d] / weights[k])) for k in range(len(weights)) for d in range(sums.shape[1]) if weights[k]]
+    return spark.createDataFrame(rows, "cluster int, d int, v double").select("cluster", "d", _r("v").alias("v"))
 
 
 @query("cluster_summary", f"WITH {KM} SELECT cluster, count(*) AS n, round(sqrt(avg(d2)), 6) AS rms, round(sqrt(max(d2)), 6) AS furthest FROM near GROUP BY 1")
@@ -596,16 +599,6 @@ def _table(spark, rows: list, schema: str) -> DataFrame:
     return spark.createDataFrame([tuple(plain(d[n]) for n in names) for d in dicts], schema)
 
 
-@query("ols_fit")
-def ols_fit(spark, sf_dir):
-    return _table(spark, R.ols(_lines(spark, sf_dir), LINE), "name string, coefficient double, se double, t double, p double")
-
-
-@query("seq_r2")
-def seq_r2(spark, sf_dir):
-    return _table(spark, R.sequence(R.design_gram(_lines(spark, sf_dir), 3), LINE), "name string, r2 double, adj_r2 double, rss double, q int, aicc double, added boolean")
-
-
 @query("cv_ss")
 def cv_ss(spark, sf_dir):
     return _table(spark, R.validated_sequence(_lines(spark, sf_dir), LINE[:1], LINE[1:], 5), "step int, name string, r2 double, rss double, aicc double, cvss double")
@@ -616,45 +609,11 @@ def cv_mse(spark, sf_dir):
     return _table(spark, R.cross_validated_mse(_lines(spark, sf_dir), 3, 5, 2), "rep int, fold int, n double, mse double")
 
 
-@query("predictive_r2")
-def predictive_r2(spark, sf_dir):
-    g = R.design_gram(_lines(spark, sf_dir), 3)
-    last = R.sequence(g, LINE)[-1]
-    three = R.predictive_r2(last.rss, g[1, 1] - g[0, 1] ** 2 / g[0, 0], int(g[0, 0]), last.q)
-    return spark.createDataFrame([tuple(float(x) for x in three)], "r2 double, adj_r2 double, predictive_r2 double")
-
-
-@query("stepwise_forward")
-def stepwise_forward(spark, sf_dir):
-    names = [*LINE, *[f"{a}*{b}" for k, a in enumerate(LINE) for b in LINE[k + 1 :]]]
-    rows = R.interactions(_lines(spark, sf_dir), 3)
-    return _table(spark, R.stepwise(R.design_gram(rows, 6), names), "step int, name string, t double, rss double, q int")
-
-
 @query("lasso_path")
 def lasso_path(spark, sf_dir):
     return _table(spark, R.lasso_path(R.design_gram(_lines(spark, sf_dir), 3), LINE), "step int, penalty double, name string, coefficient double")
 
 
-@query("leverages")
-def leverages(spark, sf_dir):
-    rows = table(spark, sf_dir, "part", "p_partkey", "p_size", "p_retailprice").select(F.col("p_partkey").alias("i"), F.array(F.lit(1.0), F.col("p_size").cast("double"), "p_retailprice").alias("x"))
-    return L.leverages(rows, 3)
-
-
-@query("calibration")
-def calibration(spark, sf_dir):
-    rows = _lines(spark, sf_dir)
-    beta = [r["coefficient"] for r in R.ols(rows, LINE)]
-    scaled = R.fitted(rows, beta).withColumn("fit", F.col("fit") / 1e5).withColumn("y", F.col("y") / 1e5)
-    return _table(spark, R.calibration(scaled, 2), "name string, coefficient double, se double, t double, p double")
-
-
-@query("normal_scores")
-def normal_scores(spark, sf_dir):
-    return R.normal_scores(table(spark, sf_dir, "customer", "c_acctbal"), "c_acctbal")
-
-
 # --- features
 
 

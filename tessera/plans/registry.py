@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 def _load() -> None:
     from importlib import import_module
 
-    for module in ("catalog",):
+    for module in ("catalog", "closed_forms"):
         import_module(f"tessera.plans.{module}")
 
 
