@@ -76,8 +76,11 @@ def running_totals(rows: DataFrame, key: str, n: str, parts: int = 256) -> DataF
     `total`. Keys are cut into about `parts` ranges at approximate quantiles:
     totals of ranges are summed in one small window, keys inside their range."""
     bounds = rows.approxQuantile(key, [k / parts for k in range(1, parts)], 0.5 / parts)
-    at = F.lit(0) if not bounds else F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]), lambda b: b < F.col(key)))
-    placed = rows.withColumn("_r", at)
+    if len(set(bounds)) < 2:  # no keys, or hardly any
+        order = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumn("before", F.sum(n).over(order) - F.col(n)).withColumn("total", F.sum(n).over(Window.partitionBy()))
+    at = F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]), lambda b: b < F.col(key)))
+    placed = cut(rows.withColumn("_r", at), "ranged")
     ranges = placed.groupBy("_r").agg(F.sum(n).alias("_n"))  # at most `parts` rows
     order = Window.orderBy("_r")
     ranges = ranges.select("_r", (F.sum("_n").over(order) - F.col("_n")).alias("_b"), F.sum("_n").over(Window.partitionBy()).alias("total"))
@@ -89,7 +92,7 @@ def five_numbers(rows: DataFrame, column: str) -> DataFrame:
     """One row: minimum, quartiles and maximum, exact (linear between ranks), by
     running totals of the counts of distinct values."""
     counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    placed = running_totals(cut(counts, "values"), "v", "n")
+    placed = running_totals(counts, "v", "n")
     wanted = (("low", 0.0), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("high", 1.0))
     # rank r (from 0) is held by the value with before <= r < before + n
     held = lambda r: F.max(F.when((F.col("before") <= r) & (r < F.col("before") + F.col("n")), F.col("v")))
