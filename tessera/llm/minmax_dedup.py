@@ -94,6 +94,16 @@ def signatures(docs: DataFrame, words: int, signer=Signer, lower: bool = True) -
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, bands array<long>, short binary")
 
 
+def by_key(rows: DataFrame, keyed: DataFrame, total: int) -> DataFrame:
+    """rows joined to a written table keyed(key, c, ...), c the number of rows
+    that have the key, of `total` in all. Keys of over 1 in HOT_PARTS of them are
+    at most HOT_PARTS: they are broadcast, so no key of the join is hot."""
+    limit = max(HOT_LEAST, total // HOT_PARTS)
+    hot = keyed.where(F.col("c") > limit)
+    few = rows.join(F.broadcast(hot.select("key")), "key", "left_anti").join(keyed.where(F.col("c") <= limit), "key")
+    return few.unionByName(rows.join(F.broadcast(hot), "key"))
+
+
 def _groups(members: DataFrame, inside_only: bool) -> DataFrame:
     """Members with the block pairs (lo, hi) of their bucket that they go to."""
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
@@ -234,7 +244,8 @@ def near_classes(docs: DataFrame, words: int = 5, percent: int = 80, signer=Sign
     same = ["h1", "h2", "n"]
     copies = alive.groupBy(*same).agg(F.min("doc_id").alias("node"), F.count("*").alias("c")).where("c > 1")
     copies = cut(copies, "copies")
-    limit = max(HOT_LEAST, signed.count() // HOT_PARTS)
+    rows = signed.count()
+    limit = max(HOT_LEAST, rows // HOT_PARTS)
     hot = copies.where(F.col("c") > limit).select(*same, F.col("node").alias("hot"))  # at most HOT_PARTS rows
     some = copies.where(F.col("c") <= limit).select(*same, "node")
     marked = alive.join(F.broadcast(hot), same, "left")
@@ -244,21 +255,22 @@ def near_classes(docs: DataFrame, words: int = 5, percent: int = 80, signer=Sign
     tied = cut(few.unionByName(many).select("doc_id", "n", "node", mine("bands"), mine("short")), "tied")
     own = tied.where("doc_id = node")
     banded = own.select("node", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    members = cut(banded.join(shared, "key").join(own.select("node", "n", "short"), "node"), "members")
+    shared = cut(banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "shared")
+    members = cut(by_key(banded, shared, rows * BANDS).join(own.select("node", "n", "short"), "node"), "members")
 
     likely = percent / 100 - 0.03
     first = confirm(docs, _pairs(_groups(members.select("key", "node", "c", "short"), True), lambda t, lo, hi: _leaders(t, likely)), words, percent, lower)
     early = comp = cut(components(first).withColumnRenamed("component", "comp"), "comp")
     placed = members.select("key", "node", "c").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    still = cut(placed.join(open_keys, "key", "left_semi"), "open")
+    several = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).where("x <> y")
+    open_keys = cut(several.select("key", "c"), "open-keys")
+    still = cut(by_key(placed.drop("c"), open_keys, rows * BANDS), "open")
     signs = own.select("node", "n", "short")
     chosen = cut(_candidates(_groups(still.join(signs, "node"), False), percent), "chosen")
-    counts = chosen.groupBy("key").agg(F.count("*").alias("c"))
-    still = chosen.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(counts, "key")
-    sets = cut(shingle_sets(docs, still.select("node").distinct(), words, lower), "sets")
-    second = _pairs(_groups(still.select("key", "node", "c", "comp").join(sets, "node"), False), lambda t, lo, hi: _joins(t, percent, lo, hi))
+    counts = cut(chosen.groupBy("key").agg(F.count("*").alias("c")), "counts")
+    again = by_key(chosen.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), counts, rows * BANDS)
+    sets = cut(shingle_sets(docs, chosen.select("node").distinct(), words, lower), "sets")
+    second = _pairs(_groups(again.select("key", "node", "c", "comp").join(sets, "node"), False), lambda t, lo, hi: _joins(t, percent, lo, hi))
     # what the first round joined stays joined: its stars go into the last graph
     comp = cut(components(second.unionByName(comp.select(F.col("node").alias("u"), F.col("comp").alias("v")))).withColumnRenamed("component", "comp"), "comp")
 
@@ -266,6 +278,6 @@ def near_classes(docs: DataFrame, words: int = 5, percent: int = 80, signer=Sign
     linked = ends.select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
     alone = signed.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     out = cut(linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "classes")
-    for done in (signed, copies, tied, members, first, early, still, chosen, sets, comp):
+    for done in (signed, copies, tied, shared, members, first, early, open_keys, still, chosen, counts, sets, comp):
         discard(done)
     return out
