@@ -9,7 +9,9 @@ the end of a partition goes into windows of falling powers of two. Windows
 are then dealt to step groups, longest first, each to the lightest group.
 
 Packing runs over units of a bounded number of tokens inside each partition,
-without a shuffle; a unit hands what it can't place to the next one.
+without a shuffle; a unit hands what it can't place to the next one, and step
+groups are balanced inside a unit. So sequences follow from how the input is
+split: other splits give other, equally full sequences.
 
 Defined results: null and empty texts are the end id alone; a repeated row is
 packed again; doc_id may be null; other columns are ignored; an empty table
@@ -144,7 +146,7 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = END_ID, windows
             group = step_groups(sizes, step_tokens)
             rows: list[list] = [[] for _ in range(9 + with_ids)]
             for at, (w, size, g) in enumerate(zip(done, sizes, group, strict=True)):
-                offset, window = 0, packer.tier(size)
+                offset, window = 0, size if size & (size - 1) == 0 else packer.tier(size)
                 for d, s, n in w:
                     part = ids[d][s : s + n]
                     row = (keys[d], s, n, zlib.crc32(part.astype("<u4").tobytes()), len(ids[d]), base + sequences + at, offset, window, base + groups + g) + ((part.tobytes(),) if with_ids else ())

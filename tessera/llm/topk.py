@@ -8,6 +8,9 @@ position make one key, and a partial selection keeps k of them for each query.
 Lists of tiles are merged in a tree: first inside groups of FAN shards, then
 over the groups.
 
+Exact search looks at every pair, so each candidate goes to every block of
+queries: it is copied once for each BLOCK queries.
+
 Copies of one vector need no care: keys are unique, so ties never grow a list.
 
 Defined results: null vectors, and vectors that hold null or non-finite

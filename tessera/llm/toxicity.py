@@ -5,7 +5,8 @@ word, so that a collision of one alone stays weak, and one of its first four
 letters. Filters of widths 1, 2 and 3 slide over whole texts; each filter's
 largest value (max pooling), rectified, goes into a logistic layer. Everything
 is trained in numpy on the driver, on a bounded sample of labelled rows
-(TOXIC_ROWS + CLEAN_ROWS, in order of a hash of doc_id); embeddings start from
+(TOXIC_ROWS + CLEAN_ROWS and, of each label, TRAIN_CHARS characters, whole texts
+in order of a hash of doc_id); embeddings start from
 the log odds of their bucket. A fifth of the sample is kept from training, and
 there the decision threshold is set for each language; the score is the
 probability, stretched so that its language's threshold comes to 0.7. The
@@ -14,7 +15,8 @@ no column but the text takes part in a score.
 
 Defined results: null texts count as empty; a text without words scores 0, as
 does every text where the sample lacks one of the two labels; repeated labels
-of a doc_id: the larger counts; null labels teach nothing.
+of a doc_id: the larger counts; of several texts of a labelled doc_id one
+teaches; null labels teach nothing.
 """
 
 from __future__ import annotations
@@ -29,9 +31,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.language_id import fold
 from tessera.llm.words import numbered, slices, split
-from tessera.session import ship
+from tessera.session import cut, discard, ship
 
-TOXIC_ROWS, CLEAN_ROWS = 3000, 6000
+TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARS = 3000, 6000, 1 << 25
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 18, 8, 8, (1, 2, 3)
 EPOCHS, BATCH, RATE, CUT = 5, 64, 0.05, 0.7
 #: ASCII bytes that aren't letters end a word.
@@ -198,7 +200,7 @@ def _best_cut(p: np.ndarray, y: np.ndarray, least: int = 10) -> float:
     return float(np.clip((p[k] + (p[k + 1] if k + 1 < len(p) else 0)) / 2, 1e-6, 1 - 1e-6))
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Net | None:
+def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, chars: int = TRAIN_CHARS) -> Net | None:
     """Train on a bounded sample of labels(doc_id, toxic), joined to
     docs(doc_id, text, lang); None if one of the labels is missing."""
     ship(docs.sparkSession)
@@ -212,7 +214,16 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_
 
     # the sample's bound makes it safe to broadcast
     joined = docs.select("doc_id", "text", "lang").join(F.broadcast(sample.select("doc_id", F.col("toxic").cast("int"))), "doc_id")
-    rows = joined.select("doc_id", "toxic", "lang", "text").mapInArrow(run, "doc_id long, toxic int, lang string, words binary").collect()
+    one = joined.groupBy("doc_id", "toxic").agg(F.min_by(F.struct("text", "lang"), F.xxhash64("text", "lang")).alias("d"))
+    one = cut(one.select("doc_id", "toxic", "d.text", "d.lang"), "training")
+    left, chosen = {0: chars, 1: chars}, []
+    for r in one.select("doc_id", "toxic", F.xxhash64("doc_id").alias("h"), F.coalesce(F.char_length("text"), F.lit(0)).alias("n")).orderBy("h", "doc_id").collect():
+        if r["n"] <= left[r["toxic"]]:
+            left[r["toxic"]] -= r["n"]
+            chosen.append((r["doc_id"],))
+    few = docs.sparkSession.createDataFrame(chosen, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}")
+    rows = one.join(F.broadcast(few), "doc_id").select("doc_id", "toxic", "lang", "text").mapInArrow(run, "doc_id long, toxic int, lang string, words binary").collect()
+    discard(one)
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["words"])))
     rng = np.random.default_rng(3)
     rng.shuffle(rows)
@@ -220,11 +231,11 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_
     if not len(toxic) or not toxic.any() or toxic.all():
         return None
     words = [np.frombuffer(bytes(r["words"]), np.int32).reshape(-1, 3) for r in rows]
-    net, cut = Net(), max(1, len(rows) // 5)
-    late = range(cut, len(rows)) if toxic[cut:].any() and not toxic[cut:].all() else range(len(rows))
+    net, fifth = Net(), max(1, len(rows) // 5)
+    late = range(fifth, len(rows)) if toxic[fifth:].any() and not toxic[fifth:].all() else range(len(rows))
     net.learn_languages(words, [r["lang"] for r in rows])
     net.train([words[k] for k in late], toxic[late.start :])
-    first = words[:cut] if 10 <= toxic[:cut].sum() <= cut - 10 else words  # too few labels: those trained on as well
+    first = words[:fifth] if 10 <= toxic[:fifth].sum() <= fifth - 10 else words  # too few labels: those trained on as well
     net.calibrate(first, toxic[: len(first)])
     return net
 

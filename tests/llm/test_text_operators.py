@@ -147,6 +147,8 @@ def test_toxicity_learns_and_keeps_rules(spark):
     assert len(held) > 200 and np.mean([got[k]["predicted"] == truth[k] for k in held]) > 0.98
     assert got[2001]["predicted"] == got[2002]["predicted"] == 0 and got[2003]["predicted"] == 1
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in out)
+    small = toxicity.fit(docs, labels, chars=2000)
+    assert small is not None and toxicity.score(docs, small).count() == 904
     assert {r["predicted"] for r in toxicity.classify(docs.limit(5), labels.limit(0)).collect()} == {0}
     assert toxicity.classify(docs.limit(0), labels).count() == 0
 
