@@ -8,7 +8,8 @@
    from one pre-token to the next.
 2. The distinct pre-tokens of all slices meet in one shuffle by pre-token,
    sorted, and the library counts the pieces of each distinct one once.
-3. Counts join the frequencies by slice and number, and are summed by document.
+3. Counts, packed by slice in runs of ROWS, join the frequencies by slice and
+   number, and are summed by document.
 
 Per slice a pre-token travels once, however often it occurs, so common ones are
 no hot keys; frequencies travel packed. Slices are made twice from the same
@@ -31,7 +32,7 @@ from tessera.llm.words import Held, numbered, raw, slices, strings
 from tessera.session import ship
 
 DEFAULT_FILE = "piece_bpe_32k.model"
-LIMIT, SLICE = 4096, 8 << 20
+LIMIT, SLICE, ROWS = 4096, 8 << 20, 1 << 20
 MARK = "▁".encode()
 _INSTANCES: dict[str, PieceCounter] = {}
 
@@ -106,21 +107,22 @@ class Slice:
         self.numbers = pairs % max(len(self.words), 1)
         self.sizes = np.bincount(pairs // max(len(self.words), 1), minlength=len(column)) if len(column) else np.zeros(0, np.int64)
 
-    def packed(self) -> bytes:
-        """Steps between a text's numbers, and frequencies, by bytes of equal
-        weight, compressed."""
-        import zstandard
 
-        steps = np.diff(self.numbers, prepend=0)  # from one text to the next a step may go back
-        return zstandard.ZstdCompressor(1).compress(b"".join(x.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in (steps, self.times)))
+def packed(numbers: np.ndarray, values: np.ndarray) -> bytes:
+    """Steps between numbers, and values, by bytes of equal weight, compressed."""
+    import zstandard
+
+    steps = np.diff(numbers, prepend=0)  # a step may go back
+    return zstandard.ZstdCompressor(1).compress(b"".join(x.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in (steps, values)))
 
 
-def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers and values of packed()."""
     import zstandard
 
-    both = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(2, 4, -1)
-    steps, times = (x.T.copy().view("<i4")[:, 0].astype(np.int64) for x in both)
-    return np.cumsum(steps), times
+    both = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(2, 4, -1)
+    steps, values = (x.T.copy().view("<i4")[:, 0].astype(np.int64) for x in both)
+    return np.cumsum(steps), values
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
@@ -146,33 +148,49 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
         for b in slices(batches, most=SLICE):
             if b.num_rows:
                 one = Slice(b.column("text"))
-                row = {"key": one.key, "words": len(one.words), "n_bytes": one.n_bytes.tolist(), "sizes": one.sizes.tolist(), "packed": one.packed()}
+                row = {"key": one.key, "words": len(one.words), "n_bytes": one.n_bytes.tolist(), "sizes": one.sizes.tolist(), "packed": packed(one.numbers, one.times)}
                 arrays = [pa.array([row[c]], t) for c, t in (("key", pa.int64()), ("words", pa.int64()), ("n_bytes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("packed", pa.binary()))]
                 ids = b.column("doc_id")
                 yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)], names=[*row, "doc_ids"])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tessera.llm.token_counts import PieceCounter
+        from tessera.llm.token_counts import PieceCounter, packed
 
         counter = PieceCounter.of(path)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            key, number, n = (np.concatenate([h[c] for h in held]) for c in range(3))
+            order = np.lexsort((number, key))
+            key, number, n = key[order], number[order], n[order]
+            at = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
+            data = [packed(x, y) for x, y in zip(np.split(number, at[1:]), np.split(n, at[1:]), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(data, pa.binary())], names=["key", "packed"])
+
         for b in batches:
-            numbers, words = numbered(b.column("word"))
-            n = counter.pieces(words)[numbers] if words else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("number"), pa.array(n, pa.int32())], names=["key", "number", "n"])
+            if b.num_rows:
+                numbers, words = numbered(b.column("word"))
+                held.append((b.column("key").to_numpy(), b.column("number").to_numpy().astype(np.int64), counter.pieces(words)[numbers]))
+            if sum(len(h[0]) for h in held) >= ROWS:
+                yield flush()
+                held = []
+        if held:
+            yield flush()
 
     def add(counts: pa.Table, freqs: pa.Table) -> pa.Table:
-        from tessera.llm.token_counts import _unpacked
+        from tessera.llm.token_counts import unpacked
 
         out: list[pa.Table] = []
-        number, n = counts.column("number").to_numpy(), counts.column("n").to_numpy().astype(np.int64)
+        parts = [unpacked(x) for x in counts.column("packed").to_pylist()]
         for row in range(freqs.num_rows):
             size = freqs.column("words")[row].as_py()
             known = np.full(size, -1, np.int64)
-            known[number] = n
+            for number, n in parts:
+                known[number] = n
             if (known < 0).any():
                 raise RuntimeError("documents changed between two readings; write them to a table first")
             sizes = freqs.column("sizes")[row].values.to_numpy()
-            numbers, times = _unpacked(freqs.column("packed")[row].as_py())
+            numbers, times = unpacked(freqs.column("packed")[row].as_py())
             total = np.concatenate([[0], np.cumsum(known[numbers] * times)]) if size else np.zeros(1, np.int64)
             ends = np.concatenate([[0], np.cumsum(sizes)])
             tokens = total[ends[1:]] - total[ends[:-1]]
@@ -182,6 +200,6 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
         return pa.concat_tables(out)
 
     words = docs.mapInArrow(distinct, "key long, number int, word binary")
-    counts = words.repartition("word").sortWithinPartitions("word").mapInArrow(pieces, "key long, number int, n int")
+    counts = words.repartition("word").sortWithinPartitions("word").mapInArrow(pieces, "key long, packed binary")
     freqs = docs.mapInArrow(frequencies, f"key long, words long, n_bytes array<long>, sizes array<long>, packed binary, doc_ids array<{kind}>")
     return counts.groupBy("key").cogroup(freqs.groupBy("key")).applyInArrow(add, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
