@@ -97,10 +97,11 @@ def signatures(docs: DataFrame, words: int, signer=Signer, lower: bool = True) -
 def by_key(rows: DataFrame, keyed: DataFrame, total: int) -> DataFrame:
     """rows joined to a written table keyed(key, c, ...), c the number of rows
     that have the key, of `total` in all. Keys of over 1 in HOT_PARTS of them are
-    at most HOT_PARTS: they are broadcast, so no key of the join is hot."""
+    at most HOT_PARTS: they are broadcast, so no key of the join is hot. The
+    rest grows with the data and is joined alike at every size."""
     limit = max(HOT_LEAST, total // HOT_PARTS)
     hot = keyed.where(F.col("c") > limit)
-    few = rows.join(F.broadcast(hot.select("key")), "key", "left_anti").join(keyed.where(F.col("c") <= limit), "key")
+    few = rows.join(F.broadcast(hot.select("key")), "key", "left_anti").join(keyed.where(F.col("c") <= limit).hint("merge"), "key")
     return few.unionByName(rows.join(F.broadcast(hot), "key"))
 
 
@@ -249,7 +250,7 @@ def near_classes(docs: DataFrame, words: int = 5, percent: int = 80, signer=Sign
     hot = copies.where(F.col("c") > limit).select(*same, F.col("node").alias("hot"))  # at most HOT_PARTS rows
     some = copies.where(F.col("c") <= limit).select(*same, "node")
     marked = alive.join(F.broadcast(hot), same, "left")
-    few = marked.where("hot is null").join(some, same, "left").withColumn("node", F.coalesce("node", "doc_id"))
+    few = marked.where("hot is null").join(some.hint("merge"), same, "left").withColumn("node", F.coalesce("node", "doc_id"))
     many = marked.where("hot is not null").withColumn("node", F.col("hot"))
     mine = lambda c: F.when(F.col("doc_id") == F.col("node"), F.col(c)).alias(c)
     tied = cut(few.unionByName(many).select("doc_id", "n", "node", mine("bands"), mine("short")), "tied")
