@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import language_id, minmax_dedup, mixing, packing, toxicity
-from tessera.session import cut, drop_path, shared_dir
+from tessera.session import drop_path, shared_dir
 from tessera.sources.tables import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -27,7 +27,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     languages that no profile is of. The medians are over all rows. A null lang
     becomes the one found; a given one stays."""
     docs = docs.select(*COLUMNS)
-    found = cut(language_id.predict(docs, language_id.learn(docs), keep=COLUMNS).where(F.col("lang_pred") != language_id.UNKNOWN), "found")
+    profiles = language_id.learn(docs)
+    # predicted once for the medians and once for the rows: cheaper than a second copy of all texts
+    found = language_id.predict(docs, profiles, keep=COLUMNS).where(F.col("lang_pred") != language_id.UNKNOWN)
     usual = found.groupBy("lang_pred").agg(F.percentile_approx("lang_score", 0.5, 1000).alias("usual"))  # one row a profile
     kept = found.join(F.broadcast(usual), "lang_pred").where(F.col("lang_score") >= F.lit(LEAST_SHARE) * F.col("usual"))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
