@@ -209,8 +209,12 @@ class ClusterClassifier:
         known = self.types.join(self.labels, "cluster").select("type", F.col("pos").alias(out))
         return rows.join(known, "type", "left").withColumn(out, F.coalesce(out, F.lit("OTH")))
 
+    def judged(self, tagged: DataFrame) -> DataFrame:
+        """(truth, est[, n]) of tokens (type, pos) or of their counts n."""
+        return self.transform(tagged).select(F.col("pos").alias("truth"), "est", *[c for c in tagged.columns if c == "n"])
+
     def confusion(self, tagged: DataFrame) -> DataFrame:
-        return confusion(self.transform(tagged).select(F.col("pos").alias("truth"), "est"))
+        return confusion(self.judged(tagged))
 
     def score(self, tagged: DataFrame) -> DataFrame:
-        return accuracy_purity(self.transform(tagged).select(F.col("pos").alias("truth"), "est"))
+        return accuracy_purity(self.judged(tagged))

@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 from tessera.session import cut
 
 
+def _judged(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("truth", "est").agg((F.sum("n") if "n" in rows.columns else F.count("*")).alias("n"))
+
+
 def confusion(rows: DataFrame) -> DataFrame:
-    """(truth, est, n) over all pairs of the labels of either side."""
-    n = rows.groupBy("truth", "est").agg(F.count("*").alias("n"))
+    """(truth, est, n) over all pairs of the labels of either side, of rows or of
+    counts n of rows."""
+    n = _judged(rows)
     labels = n.select(F.col("truth").alias("x")).unionByName(n.select(F.col("est").alias("x"))).distinct()
     grid = labels.select(F.col("x").alias("truth")).crossJoin(F.broadcast(labels.select(F.col("x").alias("est"))))  # labels x labels: the matrix itself
     return grid.join(n, ["truth", "est"], "left").select("truth", "est", F.coalesce("n", F.lit(0)).alias("n"))
@@ -28,8 +33,8 @@ def margins(rows: DataFrame) -> DataFrame:
 
 def accuracy_purity(rows: DataFrame) -> DataFrame:
     """One row: n, accuracy (share on the diagonal) and purity (share in the
-    largest truth of each estimate)."""
-    n = rows.groupBy("truth", "est").agg(F.count("*").alias("n"))
+    largest truth of each estimate), of rows or of counts n of rows."""
+    n = _judged(rows)
     per = n.groupBy("est").agg(F.max("n").alias("top"), F.sum("n").alias("n"), F.sum(F.when(F.col("truth").eqNullSafe(F.col("est")), F.col("n")).otherwise(0)).alias("hit"))
     return per.agg(F.sum("n").alias("n"), (F.sum("hit") / F.sum("n")).alias("accuracy"), (F.sum("top") / F.sum("n")).alias("purity"))
 

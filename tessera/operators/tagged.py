@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.counts import bigram_counts, cross_bigrams
-from tessera.operators.vocab import ranked
+from tessera.operators.vocab import Texts, ranked
+from tessera.session import cut
 
 OTHER = "OTH"
 
@@ -79,14 +80,20 @@ def group_proportions(rows: DataFrame) -> DataFrame:
 
 @dataclass
 class TaggedTokens:
-    """A tagged corpus (seq, type, pos), as frames that compute when asked."""
+    """A tagged corpus (seq, type, pos), as frames that compute when asked. Where
+    its types are at hand as arrays (doc_id, toks) in order of seq, bigrams read
+    these. written: counts are written once, for all that is made from them."""
 
     rows: DataFrame
     threshold: float = 0.0
+    toks: DataFrame | Texts | None = None
+    written: bool = False
 
     def __post_init__(self) -> None:
         self.tagged = collapse_tags(self.rows, self.threshold) if self.threshold > 0 else self.rows
         self.counts = type_tag_counts(self.tagged)
+        if self.written:
+            self.counts = cut(self.counts, "tags")
         freq = self.counts.groupBy("type").agg(F.sum("n").alias("freq"))
         self.types = ranked(freq)
         self.majority = majority_tags(self.counts)
@@ -115,8 +122,10 @@ class TaggedTokens:
     def n_types_oov(self, other: TaggedTokens) -> int:
         return unseen_types(self.tagged, other.tagged).count()
 
-    def arrays(self, run: int = 1 << 14) -> DataFrame:
+    def arrays(self, run: int = 1 << 14) -> DataFrame | Texts:
         """Tokens in runs of seq, as the arrays that bigram counts read."""
+        if self.toks is not None:
+            return self.toks
         grp = F.floor(F.col("seq") / run).cast("long")
         return self.tagged.groupBy(grp.alias("doc_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "type"))), lambda s: s["type"]).alias("toks"))
 

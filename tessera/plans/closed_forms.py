@@ -487,6 +487,6 @@ def distinct_topics(spark, sf_dir):
 def document_centroid_squares(spark, sf_dir):
     """B 1 through the product of triplets and rows: squares of row sums."""
     v = V.Vocabulary(_docs(spark, sf_dir), 0, False, 3)
-    cells = N.document_counts(v.tokens, v.types).select(F.col("doc_id").alias("i"), F.col("idx").cast("long").alias("j"), F.col("n").cast("double").alias("v"))
+    cells = N.scaled_rows(N.document_rows(v.ids), "w", None)
     ones = v.types.select(F.col("idx").cast("long").alias("i"), F.array(F.lit(1.0)).alias("x"))
     return L.times_rows(cells, ones, 1).agg(_r(F.sum(F.col("x")[0] * F.col("x")[0]), 2).alias("ss"))

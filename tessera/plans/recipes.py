@@ -7,13 +7,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import counts as N
 from tessera.operators import evaluate as E
 from tessera.operators import linalg as L
 from tessera.operators import regression as R
 from tessera.operators.vocab import Vocabulary
 from tessera.plans import programs as P
-from tessera.session import cut
 
 
 def listings(lines: DataFrame, quotes: bool = True) -> DataFrame:
@@ -32,10 +30,10 @@ def lsa_sweep(docs: DataFrame, adjustments: str = "wrcbt", min_frequency: int =
     on LSA features under each scaling, and the number of models up to the one
     of smallest AICc. Counts are made once."""
     vocab = Vocabulary(docs, 0, False, min_frequency)
-    dtm = cut(N.document_counts(vocab.tokens, vocab.types), "dtm")
+    counted, dtm = P._counts(vocab)
     out = []
     for how in adjustments:
-        cells = P._cells(N.scale_documents(dtm, how))
+        cells = P._scaled(counted, dtm, vocab.types, how)
         u, _, _ = L.randomized_svd(cells, n_projections, power_iter, seed)
         steps = R.sequence_r2(P._with_rows(docs, dtm, u, n_projections, use_log), [f"L{k}" for k in range(n_projections)])
         out.append((how, float(steps[-1].r2), float(steps[-1].adj_r2), float(steps[-1].aicc), R.best_step(steps)["place"]))
